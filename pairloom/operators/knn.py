@@ -176,13 +176,16 @@ def cell_number(n_rows: int) -> int:
     return int(min(max(np.sqrt(n_rows), 1), MAX_CELLS))
 
 
-def build_cells(index: DataFrame, method: str = "kmeans", cells: int | None = None, seed: int = 42, min_pivots: int = 1) -> CellIndex:
+def build_cells(
+    index: DataFrame, method: str = "kmeans", cells: int | None = None, seed: int = 42, min_pivots: int = 1,
+    profile: tuple[int, int] | None = None,
+) -> CellIndex:
     """Assign every index row to its nearest centre and keep the result as a table.
 
     ``method='kmeans'`` fits centres on a bounded draw of rows (64 per cell); all
     rows are assigned. ``method='pivots'`` uses index rows themselves as centres.
     """
-    dims, n = vector_profile(index)
+    dims, n = profile or vector_profile(index)
     rows = _vectors(index, "index_id", dims)
     cells = min(cells or cell_number(n), n)
     if method == "pivots":
@@ -327,14 +330,18 @@ def _block_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude
 def knn_join_exact(
     queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, cells: int | None = None,
+    profile: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The k most similar ``index`` rows per row of ``queries``; both are ``(id, v)``."""
-    dims, rows = vector_profile(index)
+    """The k most similar ``index`` rows per row of ``queries``; both are ``(id, v)``.
+
+    ``profile`` is the ``vector_profile`` of the index, if already known.
+    """
+    dims, rows = profile or vector_profile(index)
     asking, searched = _vectors(queries, "query_id", dims), _vectors(index, "index_id", dims)
     if rows * (dims * 8 + 64) <= broadcast_bytes:
         return _ranked(_broadcast_join(asking, searched, k, dims, exclude_self), k)
     wanted = k + 1 if exclude_self else k
-    pivots = build_cells(index, "pivots", cells, min_pivots=wanted)
+    pivots = build_cells(index, "pivots", cells, min_pivots=wanted, profile=(dims, rows))
     visits = _visits(asking, _bound_rule(pivots, wanted), dims, pivots.centres)
     visits = visits.withColumn("cell", F.explode("cells")).drop("cells")
     return _ranked(_block_join(visits, pivots.rows, k, dims, exclude_self, block_rows), k)
@@ -355,12 +362,16 @@ def knn_join_ivf(
     return _ranked(_block_join(visits, built.rows, k, dims, exclude_self, block_rows), k)
 
 
-def knn_join(queries: DataFrame, index: DataFrame | CellIndex, k: int, *, exact_rows: int = 100_000, **options) -> DataFrame:
+def knn_join(
+    queries: DataFrame, index: DataFrame | CellIndex, k: int, *, exact_rows: int = 100_000,
+    profile: tuple[int, int] | None = None, **options,
+) -> DataFrame:
     """Exact up to ``exact_rows`` index rows, over k-means cells beyond."""
     if isinstance(index, CellIndex):
         return knn_join_ivf(queries, index, k, **options)
-    if index.limit(exact_rows + 1).count() <= exact_rows:
-        return knn_join_exact(queries, index, k, exclude_self=options.get("exclude_self", False))
+    profile = profile or vector_profile(index)
+    if profile[1] <= exact_rows:
+        return knn_join_exact(queries, index, k, exclude_self=options.get("exclude_self", False), profile=profile)
     return knn_join_ivf(queries, index, k, **options)
 
 
