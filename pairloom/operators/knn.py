@@ -109,7 +109,7 @@ def _vectors(df: DataFrame, name: str, dims: int) -> DataFrame:
 def vector_profile(df: DataFrame) -> tuple[int, int]:
     """The most common vector width and how many rows have it, in one pass."""
     widths = df.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).groupBy(F.size("v").alias("d")).count()
-    first = widths.orderBy(F.desc("count"), "d").first()
+    first = widths.orderBy(F.desc("count"), F.desc("d")).first()
     if first is None:
         raise ValueError("the table holds no vectors")
     return first["d"], first["count"]

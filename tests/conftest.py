@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", partitions=4)
+    session = local_session(8, "tests", partitions=4, quick_start=True)
     session.sparkContext.setLogLevel("ERROR")
     return session
 
