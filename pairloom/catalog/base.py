@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom.functions.text import DROPPED_PATTERN, SPACE_PATTERN, clean
 from pairloom.operators.knn import knn_join_exact
 from pairloom.operators.labels import as_pairs
-from pairloom.session import materialize
+from pairloom.session import materialize, spread
 
 HEAD = 60  # characters a blocking key takes from either end of a text
 K = 5
@@ -96,7 +96,7 @@ scored AS (SELECT k.a_id, k.b_id, (k.sim + 1) / 2 AS p, CASE WHEN t.a_id IS NULL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), F.col("source").alias("site"), "lang", F.col("text").alias("body"))
 
 
@@ -119,11 +119,11 @@ def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         keyed.filter("id % 2 = 1").join(partner, ["place", "key"])
         .select("a_id", F.col("id").alias("b_id")).distinct()
     )
-    words = texts.select("id", F.array_distinct(F.split("t", " ")).alias("w"))
-    compared = (
-        met.join(words.select(F.col("id").alias("a_id"), F.col("w").alias("wa")), "a_id")
-        .join(words.select(F.col("id").alias("b_id"), F.col("w").alias("wb")), "b_id")
-    )
+    whole = documents(spark, sf_dir).select("id", "body")
+    bodies = met.join(whole.select(F.col("id").alias("a_id"), F.col("body").alias("x")), "a_id").join(
+        whole.select(F.col("id").alias("b_id"), F.col("body").alias("y")), "b_id")
+    words = {side: F.array_distinct(F.split(clean(F.col(side)), " ")) for side in ("x", "y")}
+    compared = bodies.select("a_id", "b_id", words["x"].alias("wa"), words["y"].alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
     return compared.filter(5 * common >= 4 * (F.size("wa") + F.size("wb") - common)).select("a_id", "b_id")
 

@@ -50,6 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A freshly read table, over at least as many partitions as there are cores.
+
+    Large tables come in many splits and pass unchanged; a small file with a single
+    row group would otherwise keep one core busy and the others idle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
