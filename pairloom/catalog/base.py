@@ -115,6 +115,7 @@ def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keyed = texts.select("id", F.inline(ends))
     partner = keyed.filter("id % 2 = 0").groupBy("place", "key").agg(F.max("id").alias("a_id"))
+    partner = materialize(partner, "partner")
     met = (
         keyed.filter("id % 2 = 1").join(partner, ["place", "key"])
         .select("a_id", F.col("id").alias("b_id")).distinct()

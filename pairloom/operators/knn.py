@@ -228,12 +228,13 @@ def assign_nearest(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(nearest, schema)
 
 
-def _visits(queries: DataFrame, choose: Callable[[np.ndarray], np.ndarray], dims: int, centres: np.ndarray) -> DataFrame:
-    """Add ``cells``, the list of cells each query visits; ``choose`` maps a matrix of
-    query-centre cosines to a boolean matrix."""
+def _visits(
+    queries: DataFrame, choose: Callable[[np.ndarray], np.ndarray], dims: int, centres: np.ndarray
+) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, v, cell)``, one row per cell a query visits, and the same as ``(cell)``
+    alone for counting. ``choose`` maps query-centre cosines to a boolean matrix."""
     shared = queries.sparkSession.sparkContext.broadcast(centres)
-    schema = StructType([*queries.schema.fields, StructField("cells", ArrayType(IntegerType()))])
-    names = [f.name for f in schema.fields]
+    cells = StructField("cells", ArrayType(IntegerType()))
     step = max(TILE // len(centres), 1)
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +245,17 @@ def _visits(queries: DataFrame, choose: Callable[[np.ndarray], np.ndarray], dims
                 row, cell = np.nonzero(wanted)
                 offsets = np.searchsorted(row, np.arange(len(wanted) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["query_id", "v", "cells"])
+
+    def plan_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for planned in plan(batches):
+            yield planned.select(["cells"])
 
-    return queries.mapInArrow(plan, schema)
+    full = queries.mapInArrow(plan, StructType([*queries.schema.fields, cells]))
+    return (
+        full.select("query_id", "v", F.explode("cells").alias("cell")),
+        queries.mapInArrow(plan_cells, StructType([cells])).select(F.explode("cells").alias("cell")),
+    )
 
 
 def _bound_rule(cells: CellIndex, k: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -288,9 +297,13 @@ def _nearest_rule(cells: CellIndex, k: int, nprobe: int) -> Callable[[np.ndarray
 # --- block join ------------------------------------------------------------------
 
 
-def _block_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool, block_rows: int) -> DataFrame:
+def _block_join(
+    queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool, block_rows: int,
+    query_cells: DataFrame | None = None, bounded_cells: bool = False,
+) -> DataFrame:
     """Join ``(query_id, v, cell)`` and ``(index_id, v, cell)`` on the cell and emit the
-    top k of each query per block.
+    top k of each query per block. ``query_cells`` are the cells of ``queries`` alone,
+    if they can be had more cheaply; ``bounded_cells`` says there are at most MAX_CELLS.
 
     A cell with i index and q query rows becomes ceil(i/block) x ceil(q/block)
     blocks, chosen by hash, so blocks stay near ``block_rows`` rows a side.
@@ -299,8 +312,11 @@ def _block_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude
         return F.ceil(F.col(count) / F.lit(block_rows)).cast("int").alias(name)
 
     index_sizes = index.groupBy("cell").agg(F.count("*").alias("ni")).select("cell", blocks("ni", "i_blocks"))
-    query_sizes = queries.groupBy("cell").agg(F.count("*").alias("nq")).select("cell", blocks("nq", "q_blocks"))
-    layout = index_sizes.join(query_sizes, "cell")
+    asked = queries.select("cell") if query_cells is None else query_cells
+    query_sizes = asked.groupBy("cell").agg(F.count("*").alias("nq")).select("cell", blocks("nq", "q_blocks"))
+    layout = materialize(index_sizes.join(query_sizes, "cell"), "layout")
+    if bounded_cells:
+        layout = F.broadcast(layout)
 
     def others(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -342,9 +358,8 @@ def knn_join_exact(
         return _ranked(_broadcast_join(asking, searched, k, dims, exclude_self), k)
     wanted = k + 1 if exclude_self else k
     pivots = build_cells(index, "pivots", cells, min_pivots=wanted, profile=(dims, rows))
-    visits = _visits(asking, _bound_rule(pivots, wanted), dims, pivots.centres)
-    visits = visits.withColumn("cell", F.explode("cells")).drop("cells")
-    return _ranked(_block_join(visits, pivots.rows, k, dims, exclude_self, block_rows), k)
+    visits, cells_only = _visits(asking, _bound_rule(pivots, wanted), dims, pivots.centres)
+    return _ranked(_block_join(visits, pivots.rows, k, dims, exclude_self, block_rows, cells_only, True), k)
 
 
 def knn_join_ivf(
@@ -357,9 +372,8 @@ def knn_join_ivf(
     dims = built.dims
     wanted = k + 1 if exclude_self else k
     asking = _vectors(queries, "query_id", dims)
-    visits = _visits(asking, _nearest_rule(built, wanted, nprobe), dims, built.centres)
-    visits = visits.withColumn("cell", F.explode("cells")).drop("cells")
-    return _ranked(_block_join(visits, built.rows, k, dims, exclude_self, block_rows), k)
+    visits, cells_only = _visits(asking, _nearest_rule(built, wanted, nprobe), dims, built.centres)
+    return _ranked(_block_join(visits, built.rows, k, dims, exclude_self, block_rows, cells_only, True), k)
 
 
 def knn_join(

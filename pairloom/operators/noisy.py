@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.operators.cluster import connected_components
 from pairloom.operators.knn import knn_self_join
 from pairloom.operators.sampling import exact_sample
+from pairloom.session import materialize
 
 
 def cluster_negatives(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -25,6 +26,7 @@ def cluster_positives(records: DataFrame, source_a: str, source_b: str) -> DataF
     output grows with the B rows and never with the square of a cluster.
     """
     first = records.filter(F.col("source") == source_a).groupBy("cluster").agg(F.min("id").alias("first_id"))
+    first = materialize(first, "first")
     partners = records.filter(F.col("source") == source_b).select("cluster", F.col("id").alias("second_id"))
     return partners.join(first, "cluster").select("first_id", "second_id", F.lit(1.0).alias("label"))
 

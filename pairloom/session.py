@@ -64,7 +64,10 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write ``df`` to the shared folder and read it back.
 
     The plan restarts from Parquet, so lineage stays short, a lost executor costs
-    one task and the optimizer sees real sizes.
+    one task and the optimizer sees real sizes. A grouped table that is joined on its
+    group key goes through here too: joined directly it would keep the partitioning
+    of the grouping, and adaptive execution only splits a hot key where both sides
+    of the join have a shuffle of their own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pairloom/{name}-{uuid.uuid4().hex}"

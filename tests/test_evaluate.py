@@ -21,7 +21,10 @@ def brute(data, threshold, strict=False):
     return tp, fp, fn, precision, recall, 2 * precision * recall / (precision + recall + 1e-9)
 
 
-@pytest.mark.parametrize("curve", [evaluate.pr_curve, evaluate.small_pr_curve])
+CURVES = [evaluate.pr_curve, lambda df: evaluate.pr_curve(df, bands=7), lambda df: evaluate.pr_curve(df, bands=1), evaluate.small_pr_curve]
+
+
+@pytest.mark.parametrize("curve", CURVES)
 def test_curve_equals_brute_force(scored, curve):
     data, df = scored
     rows = curve(df).collect()
@@ -87,3 +90,11 @@ def test_missing_records_drop_pairs(spark):
     a, b = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(2,)], "id long")
     assert [tuple(r) for r in labels.resolvable(pairs, a, b).select("a_id", "b_id").collect()] == [(1, 2)]
     assert labels.label_stats(spark.createDataFrame([(1.0,), (0.0,), (0.0,)], "label double")).first() == (3, 1, 2)
+
+
+def test_bands_stay_even_for_crowded_scores(spark):
+    crowded = spark.range(20_000).selectExpr("id AS a_id", "id AS b_id", "id / 20000.0 * 1e-5 AS p", "double(id % 3 = 0) AS label")
+    curve = evaluate.pr_curve(crowded, bands=16)
+    assert curve.count() == 20_000
+    last = curve.orderBy("threshold").first()
+    assert (last.tp, last.fp) == (6667, 13333)
