@@ -108,12 +108,15 @@ def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets overlap by at least 0.8 (Jaccard). One partner per key keeps the pairs
     linear in the documents, however many copies share a key.
     """
-    texts = documents(spark, sf_dir).select("id", clean(F.col("body")).alias("t")).filter("t <> ''")
-    ends = F.array(
-        F.struct(F.lit("first").alias("place"), F.substring("t", 1, HEAD).alias("key")),
-        F.struct(F.lit("last").alias("place"), F.right("t", F.lit(HEAD)).alias("key")),
-    )
-    keyed = texts.select("id", F.inline(ends))
+    def ends(t):
+        return F.array(
+            F.struct(F.lit("first").alias("place"), F.substring(t, 1, HEAD).alias("key")),
+            F.struct(F.lit("last").alias("place"), F.right(t, F.lit(HEAD)).alias("key")),
+        )
+
+    # The lambda keeps the cleaned text one value; a plain column would be cleaned per use.
+    both = F.flatten(F.transform(F.array(clean(F.col("body"))), ends))
+    keyed = materialize(documents(spark, sf_dir).select("id", F.inline(both)).filter("key <> ''"), "keyed")
     partner = keyed.filter("id % 2 = 0").groupBy("place", "key").agg(F.max("id").alias("a_id"))
     partner = materialize(partner, "partner")
     met = (
