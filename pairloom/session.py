@@ -10,18 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", app: str = "pairloom", partitions: int = 8, quick_start: bool = False) -> SparkSession:
-    """A single-machine session for tests and the bench; clusters bring their own.
-
-    ``quick_start`` stops the JVM at its first compiler, which suits many tiny jobs.
-    """
-    java = "-XX:TieredStopAtLevel=1" if quick_start else "--add-modules=jdk.incubator.vector"
+def local_session(cores: int | str = "*", app: str = "pairloom", partitions: int = 8) -> SparkSession:
+    """A single-machine session for tests and the bench; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
-        .config("spark.driver.extraJavaOptions", java)
+        .config("spark.driver.extraJavaOptions", "--add-modules=jdk.incubator.vector")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
