@@ -49,32 +49,45 @@ def nearest_centroid(records: DataFrame, centroids: DataFrame) -> DataFrame:
     return assigned.select("id", names[F.col("cell")].alias("centroid_id"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for undirected edges ``(src, dst)``; a component is named after
     its smallest member.
 
-    Every round takes the smallest label among the neighbours (combined on the map
-    side, so hubs stay cheap) and then follows labels one step further, which
-    halves distances. Each round's labels are written to the shared folder.
+    Alternates two steps until nothing changes. A small star links a vertex and its
+    smaller neighbours to the smallest of them; a large star links the larger
+    neighbours of a vertex to the smallest member of its neighbourhood. Each round
+    about halves the longest path whatever the order of ids, so a chain settles in a
+    logarithm of its length. Minima combine on the map side and are stored before
+    they are joined, so that a hub's edges can be split. Self-loops are vertices too.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.filter("src <> dst").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("id")).agg(
-        F.least(F.min("dst"), F.col("id")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        offered = (
-            both.join(labels.withColumnRenamed("id", "src"), "src")
-            .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
-        )
-        lowered = labels.join(offered, "id").select("id", F.least("label", "offer").alias("low"), "label")
-        onward = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
-        stepped = lowered.join(onward, "low").select(
-            "id", F.least("low", "next").alias("new"), F.col("label").alias("old"))
-        stepped = materialize(stepped, "labels")
-        labels = stepped.select("id", F.col("new").alias("label"))
-        if stepped.filter("new <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    both = edges.select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low"))
+    stars = materialize(both.filter("high <> low").distinct(), "edges")
+    before, rounds = None, 0
+    while True:
+        seen = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()
+        if seen == before or seen[0] == 0:
+            break
+        before, rounds = seen, rounds + 1
+        stars = _large_star(_small_star(stars))
+    connected_components.rounds = rounds
+    members = stars.select(F.col("high").alias("id"), F.col("low").alias("component"))
+    named = stars.select(F.col("low").alias("id"), F.col("low").alias("component"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
+    return members.unionByName(named).unionByName(loops).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _small_star(stars: DataFrame) -> DataFrame:
+    least = materialize(stars.groupBy("high").agg(F.min("low").alias("least")), "least")
+    onward = stars.join(least, "high").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return materialize(onward.unionByName(least.select("high", F.col("least").alias("low"))).distinct(), "stars")
+
+
+def _large_star(stars: DataFrame) -> DataFrame:
+    around = stars.select(F.col("high").alias("mid"), "low").unionByName(
+        stars.select(F.col("low").alias("mid"), F.col("low").alias("low")))
+    least = materialize(around.groupBy("mid").agg(F.min("low").alias("least")), "least")
+    onward = stars.join(least, stars["low"] == least["mid"]).select("high", F.col("least").alias("low"))
+    return materialize(onward.distinct(), "stars")
 
 
 def cluster_count(clustered: DataFrame, column: str = "cluster") -> DataFrame:
