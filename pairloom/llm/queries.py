@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.bpe import encode_documents
 from pairloom.llm.common import table
+from pairloom.llm.html_extract import extract_pages
 from pairloom.llm.line_rules import score_rules
+from pairloom.llm.minhash import near_copies
+from pairloom.llm.pii import KINDS, find_personal_data, span_list
+from pairloom.llm.quality import classify_documents
 from pairloom.llm.sharding import shard_documents
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)
+    ]
+    both = F.sort_array(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(both).alias("spans"))
+
+
+def _of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = score_rules(table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -27,6 +63,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
+    "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op7_pii": op7_pii,
+    "op8_minhash": op8_minhash,
     "op9_line_rules": op9_line_rules,
     "op10_sharding": op10_sharding,
 }
