@@ -28,6 +28,10 @@ def normalised_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(squeezed), "\\n"), F.trim), lambda line: line != "")
 
 
+def host_key(host: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")))
+
+
 def text_counts(rows: DataFrame) -> DataFrame:
     """Adds the counts of the base rules for the column ``body`` (never null), and drops nothing."""
     h = F.col("hashes")
@@ -76,14 +80,15 @@ def score_rules(
     share: float = LINE_SHARE,
     kept_share: float = KEPT_SHARE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Verdicts, and the lines to remove.
+    """Verdicts, and the lines to remove from each text.
 
     Verdicts hold one row per input row: doc_id, host_key, text_key, the counts, base_failed,
     n_removed_words and kept. A text fails the base rules with under 50 words or if over half
     of its words lie in repeated three-word windows. A line is removed if the number of
     distinct texts of its host that hold it is over the limit: copies of one text count once.
     A document is depleted, and rejected, if less than ``kept_share`` of its words remain.
-    The second table names boilerplate lines by (host_key, line).
+    The second table has (host_key, text_key, n_removed_words, removed) for the texts with
+    boilerplate lines, which it names by the hash of the normalised line.
 
     Null texts are empty and fail the base rules; null hosts form one host with the empty
     name; repeated rows get equal verdicts; an empty table gives empty tables; columns
@@ -92,7 +97,7 @@ def score_rules(
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("host_key"),
+        host_key(host).alias("host_key"),
         F.xxhash64(body).alias("text_key"),
         body.alias("body"),
         F.transform(
@@ -114,7 +119,7 @@ def score_rules(
         frequent.join(limits, "host_key").where(F.col("n_texts") > F.col("limit")).drop("limit"), "frequent_lines"
     )
     removed = _removed(texts, frequent)
-    rows = rows.drop("own").join(removed, ["host_key", "text_key"], "left")
+    rows = rows.drop("own").join(removed.drop("removed"), ["host_key", "text_key"], "left")
     gone = F.coalesce("n_removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdicts = rows.select(
@@ -123,16 +128,49 @@ def score_rules(
         gone.alias("n_removed_words"),
         (~failed & (F.col("n_words") - gone >= kept_share * F.col("n_words"))).alias("kept"),
     )
-    return verdicts, frequent
+    return verdicts, removed
 
 
 def _removed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(host_key, text_key, n_removed_words) for the texts that hold a boilerplate line; every occurrence counts."""
+    """Stored (host_key, text_key, n_removed_words, removed: line hashes) for the texts that hold a boilerplate line.
+
+    Every occurrence of a line counts.
+    """
     occurring = texts.select(
         "host_key", "text_key", F.pmod("text_key", F.lit(SALT)).alias("salt"), F.explode("own").alias("one")
     ).select("host_key", "text_key", "salt", F.col("one.line").alias("line"), F.col("one.words").alias("words"))
     salted = frequent.select("host_key", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     found = occurring.join(salted.withColumn("salt", F.col("salt").cast("bigint")), ["host_key", "line", "salt"])
     return materialize(
-        found.groupBy("host_key", "text_key").agg(F.sum("words").alias("n_removed_words")), "removed_lines"
+        found.groupBy("host_key", "text_key").agg(
+            F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed")
+        ),
+        "removed_lines",
+    )
+
+
+def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns, without their boilerplate lines.
+
+    ``n_chars`` (if there) is set to the new length where lines went. The verdict and the
+    lines follow from host and text alone, so they are joined on both; only texts with
+    something to do are on the small side, which is hashed, so that texts are not sorted.
+    """
+    own = docs.withColumn("doc_id", F.lit(None).cast("long")) if "doc_id" not in docs.columns else docs
+    verdicts, removed = score_rules(own, host=host, text=text, **limits)
+    keys = ["host_key", "text_key"]
+    rejected = verdicts.where(~F.col("kept")).select(*keys).distinct().withColumn("rejected", F.lit(True))
+    actions = materialize(rejected.join(removed.select(*keys, "removed"), keys, "full"), "actions").select(
+        F.col("host_key").alias("__host"), F.col("text_key").alias("__text"), "rejected", F.col("removed").alias("__removed")
     )
+    actions = actions.withColumnRenamed("rejected", "__rejected").hint("shuffle_hash")
+    same = (host_key(host) == F.col("__host")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__text"))
+    joined = docs.join(actions, same, "left").where(F.col("__rejected").isNull())
+    normal = lambda line: F.xxhash64(F.trim(F.lower(F.regexp_replace(line, "[ \\t\\x0B-\\r]+", " "))))
+    left = F.filter(F.split(text, "\\n"), lambda line: ~F.array_contains("__removed", normal(line)))
+    changed = F.col("__removed").isNotNull()
+    joined = joined.withColumn(text, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        size = F.length(text).cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)

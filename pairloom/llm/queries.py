@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.bpe import encode_documents
 from pairloom.llm.common import table
+from pairloom.llm.embedding_dedup import near_equal_vectors
 from pairloom.llm.html_extract import extract_pages
 from pairloom.llm.line_rules import score_rules
+from pairloom.llm.katz import score_documents
 from pairloom.llm.minhash import near_copies
+from pairloom.llm.packing import pack_documents
 from pairloom.llm.pii import KINDS, find_personal_data, span_list
 from pairloom.llm.quality import classify_documents
 from pairloom.llm.sharding import shard_documents
@@ -22,6 +25,15 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -31,6 +43,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_equal_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [
@@ -64,8 +80,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
+    "op2_katz": op2_katz,
+    "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pii": op7_pii,
     "op8_minhash": op8_minhash,
     "op9_line_rules": op9_line_rules,
