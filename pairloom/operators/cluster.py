@@ -62,12 +62,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low"))
     stars = materialize(both.filter("high <> low").distinct(), "edges")
-    before, rounds = None, 0
-    while True:
-        seen = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()
-        if seen == before or seen[0] == 0:
-            break
-        before, rounds = seen, rounds + 1
+    rounds = 0
+    while not _settled(stars):
+        rounds += 1
         stars = _large_star(_small_star(stars))
     connected_components.rounds = rounds
     members = stars.select(F.col("high").alias("id"), F.col("low").alias("component"))
@@ -76,6 +73,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return members.unionByName(named).unionByName(loops).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour and none of those has a smaller one itself."""
+    sides = stars.select(F.col("high").alias("id"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(
+        stars.select(F.col("low").alias("id"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    seen = sides.groupBy("id").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return seen.filter((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("downs") == 1))).isEmpty()
+
+
 def _small_star(stars: DataFrame) -> DataFrame:
     least = materialize(stars.groupBy("high").agg(F.min("low").alias("least")), "least")
     onward = stars.join(least, "high").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))

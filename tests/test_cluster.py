@@ -36,14 +36,12 @@ def test_components_equal_union_find(spark):
 
 
 def test_components_of_a_long_chain_take_few_rounds(spark):
-    n = 3000
-    order = list(range(2, n + 1)) + [1]  # the smallest id at the far end
-    random.Random(9).shuffle(order)
-    for chain in (list(range(2, n + 1)) + [1], order):
-        edges = spark.createDataFrame(list(zip(chain, chain[1:])), "src long, dst long")
-        got = cluster.connected_components(edges)
-        assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, n + 1)}
-        assert cluster.connected_components.rounds <= 2 * n.bit_length()
+    n = 1000
+    chain = list(range(2, n + 1)) + [1]  # the smallest id at the far end
+    random.Random(9).shuffle(chain)
+    got = cluster.connected_components(spark.createDataFrame(list(zip(chain, chain[1:])), "src long, dst long"))
+    assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, n + 1)}
+    assert cluster.connected_components.rounds <= n.bit_length()
 
 
 def test_components_of_nothing(spark):
