@@ -134,9 +134,7 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         above = bool(self.stack) and self.stack[-1][2]
-        out = above or tag in SKIPPED or _named_aside(tag, attrs)
-        if not out and tag == "header":
-            out = not any(t in ("article", "main") for t, _, _ in self.stack)
+        out = above or tag in SKIPPED or tag == "header" or _named_aside(tag, attrs)
         if tag in HEADINGS and above and self._article_header():
             out = False
         self.stack.append((tag, len(self.tags_of), out))
@@ -144,7 +142,7 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
 
     def _article_header(self) -> bool:
-        """Whether all that leaves this place out is a byline or the like in the header of the article."""
+        """Whether all that leaves this place out is the article's own header, whose headings belong to the text."""
         outs = [t for t, _, o in self.stack if o]
         return outs[:1] == ["header"] and not any(t in SKIPPED for t in outs) and any(t in ("article", "main") for t, _, _ in self.stack)
 
