@@ -8,7 +8,7 @@ on those sums.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -28,28 +28,39 @@ def cuts_for(sizes: list[int], shards: int) -> list[int]:
     """Where to cut the ordered atoms: the index at which each shard but the first begins.
 
     The least capacity for which greedy filling needs at most ``shards`` shards is found
-    by binary search; a shard is then filled until its next atom would exceed it. Shards
-    that nothing is left for stay empty (their cut is the number of atoms).
+    by binary search. No shard is larger than that; below it a shard ends at the fair
+    share of what is left, if greedy filling still places the rest. So where one atom alone
+    sets the capacity, the other shards are even.
     """
     ends = list(accumulate(sizes))
-
-    def fill(capacity: int) -> list[int]:
-        cuts, start = [], 0
-        for _ in range(shards):
-            start = bisect_right(ends, (ends[start - 1] if start else 0) + capacity)
-            cuts.append(start)
-        return cuts
-
     if not sizes:
         return [0] * (shards - 1)
+
+    def reach(start: int, capacity: int) -> int:
+        return bisect_right(ends, (ends[start - 1] if start else 0) + capacity)
+
+    def fits(start: int, capacity: int, left: int) -> bool:
+        for _ in range(left):
+            start = reach(start, capacity)
+        return start == len(sizes)
+
     low, high = max(max(sizes), -(-ends[-1] // shards)), ends[-1]
     while low < high:
         middle = (low + high) // 2
-        if fill(middle)[-1] == len(sizes):
+        if fits(0, middle, shards):
             high = middle
         else:
             low = middle + 1
-    return fill(low)[:-1]
+    cuts, start = [], 0
+    for left in range(shards - 1, 0, -1):
+        before = ends[start - 1] if start else 0
+        share = before + (ends[-1] - before) / (left + 1)
+        cut = min(bisect_left(ends, share) + 1, reach(start, low), len(sizes))
+        if cut > start + 1 and ends[cut - 1] - share > share - ends[cut - 2]:
+            cut -= 1  # ends nearer to the fair share
+        start = cut if fits(cut, low, left) else reach(start, low)
+        cuts.append(start)
+    return cuts
 
 
 def shard_documents(
