@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom.functions.text import DROPPED_PATTERN, SPACE_PATTERN, clean
 from pairloom.operators.knn import knn_join_exact
 from pairloom.operators.labels import as_pairs
+from pairloom.operators.similarity import set_similarity_join
 from pairloom.session import materialize, spread
 
-HEAD = 60  # characters a blocking key takes from either end of a text
 K = 5
 
 
@@ -101,35 +101,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies between even and odd documents as ``(a_id, b_id)``.
+    """Near copies between even and odd documents as ``(a_id, b_id)``: all pairs whose
+    cleaned texts have word sets that overlap by at least 0.8 (Jaccard).
 
-    A document is compared with the last even document that starts with the same
-    characters and the last one that ends with them, and matches where the word
-    sets overlap by at least 0.8 (Jaccard). One partner per key keeps the pairs
-    linear in the documents, however many copies share a key.
+    Similarity is found between distinct texts, named by their hash; then every record
+    takes the matches of its text.
     """
-    def ends(t):
-        return F.array(
-            F.struct(F.lit("first").alias("place"), F.substring(t, 1, HEAD).alias("key")),
-            F.struct(F.lit("last").alias("place"), F.right(t, F.lit(HEAD)).alias("key")),
-        )
-
-    # The lambda keeps the cleaned text one value; a plain column would be cleaned per use.
-    both = F.flatten(F.transform(F.array(clean(F.col("body"))), ends))
-    keyed = materialize(documents(spark, sf_dir).select("id", F.inline(both)).filter("key <> ''"), "keyed")
-    partner = keyed.filter("id % 2 = 0").groupBy("place", "key").agg(F.max("id").alias("a_id"))
-    partner = materialize(partner, "partner")
-    met = (
-        keyed.filter("id % 2 = 1").join(partner, ["place", "key"])
-        .select("a_id", F.col("id").alias("b_id")).distinct()
-    )
-    whole = documents(spark, sf_dir).select("id", "body")
-    bodies = met.join(whole.select(F.col("id").alias("a_id"), F.col("body").alias("x")), "a_id").join(
-        whole.select(F.col("id").alias("b_id"), F.col("body").alias("y")), "b_id")
-    words = {side: F.array_distinct(F.split(clean(F.col(side)), " ")) for side in ("x", "y")}
-    compared = bodies.select("a_id", "b_id", words["x"].alias("wa"), words["y"].alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return compared.filter(5 * common >= 4 * (F.size("wa") + F.size("wb") - common)).select("a_id", "b_id")
+    cleaned = documents(spark, sf_dir).select("id", clean(F.col("body")).alias("t"))
+    words = F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.xxhash64(w))
+    keyed = cleaned.filter("t <> ''").select("id", F.xxhash64("t").alias("key"), words.alias("tokens"))
+    keyed = materialize(keyed, "keyed")
+    sides = [keyed.filter(F.col("id") % 2 == parity) for parity in (0, 1)]
+    texts = [side.groupBy("key").agg(F.first("tokens").alias("tokens")) for side in sides]
+    alike = materialize(set_similarity_join(*texts), "alike")
+    ids = [side.select(F.col("key").alias(f"{n}_key"), F.col("id").alias(f"{n}_id")) for side, n in zip(sides, "ab")]
+    return alike.join(ids[0], "a_key").join(ids[1], "b_key").select("a_id", "b_id")
 
 
 def clean_sql(column: str) -> str:
@@ -141,12 +127,11 @@ def clean_sql(column: str) -> str:
 
 TRUTH_SQL = f"""
 texts AS (SELECT id, t FROM (SELECT doc_id AS id, {clean_sql('text')} AS t FROM documents) WHERE t <> ''),
-keyed AS (SELECT id, 'first' AS place, substr(t, 1, {HEAD}) AS key FROM texts
-  UNION ALL SELECT id, 'last', right(t, {HEAD}) FROM texts),
-partner AS (SELECT place, key, max(id) AS a_id FROM keyed WHERE id % 2 = 0 GROUP BY place, key),
-met AS (SELECT DISTINCT p.a_id, k.id AS b_id FROM keyed k JOIN partner p ON p.place = k.place AND p.key = k.key
-  WHERE k.id % 2 = 1),
-words AS (SELECT id, list_distinct(string_split(t, ' ')) AS w FROM texts),
-shared AS (SELECT m.a_id, m.b_id, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS x, len(b.w) AS y
-  FROM met m JOIN words a ON a.id = m.a_id JOIN words b ON b.id = m.b_id),
-truth AS (SELECT a_id, b_id FROM shared WHERE 5 * c >= 4 * (x + y - c))"""
+sets AS (SELECT t, list_distinct(string_split(t, ' ')) AS w FROM (SELECT DISTINCT t FROM texts)),
+sides AS (SELECT DISTINCT t, id % 2 AS side FROM texts),
+overlap AS (SELECT x.t AS ta, y.t AS tb, len(x.w) AS nx, len(y.w) AS ny, len(list_intersect(x.w, y.w)) AS c
+  FROM sets x JOIN sides sx ON sx.t = x.t AND sx.side = 0
+  JOIN sets y ON 5 * len(x.w) >= 4 * len(y.w) AND 5 * len(y.w) >= 4 * len(x.w)
+  JOIN sides sy ON sy.t = y.t AND sy.side = 1),
+truth AS (SELECT a.id AS a_id, b.id AS b_id FROM overlap o JOIN texts a ON a.t = o.ta AND a.id % 2 = 0
+  JOIN texts b ON b.t = o.tb AND b.id % 2 = 1 WHERE 5 * c >= 4 * (nx + ny - c))"""

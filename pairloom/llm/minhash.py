@@ -28,7 +28,7 @@ BANDS = 32
 ROWS = 4
 BATCH_CHARS = 2_000_000
 #: Leaders per open bucket in the second round; each later round has so many times more.
-LEADERS = 4
+LEADERS = 16
 
 _STEPS = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -154,7 +154,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> Da
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; ``texts`` holds (node, body)."""
+    """The pairs (a, b, x, y) whose texts are similar enough; ``texts`` holds (node, body)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -166,11 +166,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 edges = np.searchsorted(owner, np.arange(2 * n + 1))
                 sets = [value[i:j] for i, j in zip(edges, edges[1:])]
                 good[part] = [_similar(x, y) for x, y in zip(sets[:n], sets[n:])]
-            yield frame.loc[good, ["a", "b"]]
+            yield frame.loc[good, ["a", "b", "x", "y"]]
 
     a = texts.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
     b = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a bigint, b bigint, x bigint, y bigint")
+
+
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """(node, size, common): how many shingles a text (node, body) has, and how many of them another text has too."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in batches(frame.body.str.len().to_numpy(), BATCH_CHARS):
+                piece = frame.iloc[part]
+                owner, value, _ = shingles(piece.body.tolist())
+                yield pd.DataFrame({"node": piece.node.to_numpy()[owner], "shingle": value.view(np.int64)})
+
+    held = materialize(texts.select("node", "body").mapInPandas(run, "node bigint, shingle bigint"), "shingles")
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", F.lit(1).alias("one"))
+    joined = held.join(materialize(common, "common"), "shingle", "left")
+    return joined.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count("one").alias("common"))
+
+
+def _merge(links: DataFrame) -> DataFrame:
+    """Stored (id, component): what linked components become."""
+    links = materialize(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
+    return materialize(connected_components(links), "parts")
+
+
+def _renamed(rows: DataFrame, column: str, parts: DataFrame) -> DataFrame:
+    own = parts.select(F.col("id").alias(column), "component")
+    return rows.join(own, column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
 
 def near_copies(
@@ -180,10 +207,11 @@ def near_copies(
 
     Equal texts are one node. In each bucket of a band one leader is compared with all
     members; buckets whose members are not one component yet get more leaders, taken from
-    the stragglers, until every pair of a bucket is either connected or compared. So a
-    large group costs its size, not its square, and no candidate pair is dropped.
+    the stragglers, until every pair of a bucket is connected, compared, or ruled out: two
+    texts cannot be similar if too few of their shingles occur in any other text of an open
+    bucket. So a large group costs about its size, and no pair that could link is dropped.
 
-    Null texts are empty; all texts without words that are equal form one class; null ids
+    Null texts are empty; texts without words are alike and form one class; null ids
     take part and are never the least; repeated rows are in one class, of which one row is
     kept; an empty table gives no rows; other columns are ignored.
     """
@@ -191,53 +219,67 @@ def near_copies(
     nodes = materialize(seen.groupBy("k1", "k2").agg(F.min("uid").alias("node")), "nodes")
     leading = seen.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     placed = leading.select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    shared = materialize(shared.select("bucket", "leader"), "buckets")
-    members = materialize(placed.join(shared, "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(placed.join(materialize(shared, "buckets"), "bucket"), "shared")
+    # The leader of a bucket is the member that meets most others in its buckets: the likely centre of a group.
+    degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = materialize(shared.select("bucket", "node").join(degrees, "node"), "members")
+    heads = members.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    members = members.select("bucket", "node").join(materialize(heads, "heads"), "bucket")
 
     wanted = members.select("node").distinct().join(nodes, "node")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(*text_keys(body), body.alias("body")).join(wanted, ["k1", "k2"]).groupBy("node")
     texts = materialize(texts.agg(F.first("body").alias("body")), "texts")
 
-    tested = materialize(
-        members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
-    )
-    links = materialize(verified(tested, texts), "links")
-    waiting = members.where("node <> leader").select("bucket", "node")
-    leaders = LEADERS
+    # x and y are the components of a and b so far: at first every node is its own.
+    leader = F.col("leader")
+    lower, upper = F.least(leader, "node"), F.greatest(leader, "node")
+    first = members.where("node <> leader").select(lower.alias("a"), upper.alias("b"), lower.alias("x"), upper.alias("y"))
+    tested = materialize(first.distinct(), "pairs")
+    merged = [_merge(verified(tested, texts))]
+    waiting = members.where("node <> leader").select("bucket", "node", F.col("node").alias("part"))
+    chances, leaders = None, LEADERS
     while True:
-        parts = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "parts")
-        state = waiting.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("part")
-        )
-        state = materialize(state, "state")
+        state = materialize(_renamed(waiting, "part", merged[-1]), "state")
         opened = state.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
         opened = materialize(opened, "open")
         if opened.isEmpty():
             break
-        state = materialize(state.join(opened, "bucket", "left_semi"), "state")
+        state = state.join(opened, "bucket", "left_semi")
+        if chances is None:
+            chances = materialize(shared_shingles(texts.join(state.select("node").distinct(), "node")), "chances")
+        # The intersection of two sets holds only shingles that each shares with some other set.
+        state = state.join(chances, "node")
+        whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
+        state = state.where(F.col("common") * SIMILAR[1] >= F.col("size") * part)
         chosen = state.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("salt")).agg(
-            F.max(F.struct("part", "node")).alias("top")
+            F.max(F.struct("part", "node", "size", "common")).alias("top")
         )
-        chosen = materialize(chosen.select("bucket", F.col("top.node").alias("leader"), F.col("top.part").alias("its")), "leaders")
+        chosen = chosen.select(
+            "bucket", F.col("top.node").alias("leader"), F.col("top.part").alias("its"),
+            F.col("top.size").alias("its_size"), F.col("top.common").alias("its_common"),
+        )
+        chosen = materialize(chosen, "leaders")
+        own, other = F.struct(F.col("leader").alias("node"), F.col("its").alias("part")), F.struct("node", "part")
+        lower, upper = F.least(own, other), F.greatest(own, other)
+        possible = F.least("common", "its_common") * whole >= (F.col("size") + F.col("its_size")) * part
         pairs = (
-            state.join(chosen, "bucket")
-            .where("part <> its")
-            .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+            state.join(chosen, (state["bucket"] == chosen["bucket"]) & (F.col("part") != F.col("its")) & possible)
+            .select(lower["node"].alias("a"), upper["node"].alias("b"), lower["part"].alias("x"), upper["part"].alias("y"))
             .distinct()
-            .join(tested, ["a", "b"], "left_anti")
+            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
         )
         pairs = materialize(pairs, "pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(materialize(verified(pairs, texts), "links"))
+        merged.append(_merge(verified(pairs, texts)))
         done = chosen.select("bucket", F.col("leader").alias("node"))
-        waiting = materialize(state.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "waiting")
+        waiting = state.select("bucket", "node", "part").join(done, ["bucket", "node"], "left_anti")
         leaders *= LEADERS
 
-    grouped = nodes.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-        "k1", "k2", F.coalesce("component", "node").alias("part")
-    )
+    grouped = nodes.select("k1", "k2", F.col("node").alias("part"))
+    for more in merged:
+        grouped = _renamed(grouped, "part", more)
     rows_ = materialize(seen.select("doc_id", "uid", "k1", "k2").join(materialize(grouped, "grouped"), ["k1", "k2"]), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = materialize(rows_.groupBy("part").agg(first), "classes")
