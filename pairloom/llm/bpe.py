@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 512)
 #: Characters encoded at once, and distinct pieces a worker remembers.
 BATCH_CHARS = 4_000_000
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 class Ranks:
@@ -189,6 +190,14 @@ def load_ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+class Codes(dict):
+    """Strings by number, in order of appearance."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes batches of texts, remembering pieces it has met."""
 
@@ -197,18 +206,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = Codes()
         self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         if len(self.codes) > REMEMBERED:
             self._forget()
-        known, codes = len(self.codes), self.codes
+        known, code = len(self.codes), self.codes.__getitem__
         per_text = []
         for text in texts:
-            per_text.append(np.fromiter((codes.setdefault(p, len(codes)) for p in self.pattern.findall(text)), np.int64))
-        new = list(codes)[known:]
+            pieces = self.pattern.findall(text)
+            per_text.append(np.fromiter(map(code, pieces), np.int64, len(pieces)))
+        new = list(islice(self.codes, known, None))
         ids, counts = self.ranks.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])
         self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
         starts = np.cumsum(self.counts) - self.counts

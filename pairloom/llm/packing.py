@@ -12,7 +12,7 @@ shard has room left.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +32,8 @@ END = 0
 SHARD = 2048
 #: Terms of the seed that are looked up, by weight.
 QUERY_TERMS = 32
+#: Ids whose terms are counted at once.
+BATCH_TERMS = 1_000_000
 K1, B = 1.2, 0.75
 #: Terms by which a tail is dealt to a shard.
 ROUTE_TERMS = 2
@@ -102,21 +104,28 @@ def cut_documents(docs: DataFrame, path: str, pattern: str, doc_id: str, text: s
     return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).mapInPandas(run, schema), "pieces")
 
 
+def term_counts(tails: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tail, term, times) of the distinct terms of each tail, sorted by tail and term."""
+    arrays = [np.frombuffer(ids, np.int32) for ids in tails]
+    owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+    keys, times = np.unique((owner << 32) | np.concatenate([*arrays, np.empty(0, np.int32)]), return_counts=True)
+    return keys >> 32, keys & 0xFFFFFFFF, times
+
+
 def term_statistics(tails: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency of every token id over all tails, their number and mean length; as large as the vocabulary."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(0, np.int64)
         for frame in frames:
-            for ids in frame.ids:
-                terms = np.unique(np.frombuffer(ids, np.int32))
-                if terms[-1] >= len(seen):
-                    seen = np.r_[seen, np.zeros(2 * int(terms[-1]) + 2 - len(seen), np.int64)]
-                seen[terms] += 1
+            for ids in map(frame.ids.iloc.__getitem__, batches(frame.length.to_numpy(), BATCH_TERMS)):
+                own = np.bincount(term_counts(ids)[1])
+                seen = np.pad(seen, (0, max(0, len(own) - len(seen))))
+                seen[: len(own)] += own
         terms = np.flatnonzero(seen)
         yield pd.DataFrame({"term": terms, "n": seen[terms]})
 
-    counted = tails.select("ids").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = tails.select("ids", "length").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n, length = tails.agg(F.count(F.lit(1)), F.avg("length")).first()
     frequencies = np.zeros(1 + max((r.term for r in counted), default=0), np.int64)
     for row in counted:
@@ -133,16 +142,21 @@ def route_tails(tails: DataFrame, idf: np.ndarray, n: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            routes = []
-            for ids in frame.ids:
-                terms, times = np.unique(np.frombuffer(ids, np.int32), return_counts=True)
-                top = terms[np.argsort(-times * idf[terms], kind="stable")[:ROUTE_TERMS]]
-                routes.append([int(t) for t in top] + [-1] * (ROUTE_TERMS - len(top)))
-            yield frame.assign(route=routes)
+            for part in batches(frame.length.to_numpy(), BATCH_TERMS):
+                piece = frame.iloc[part]
+                tail, term, times = term_counts(piece.ids)
+                order = np.lexsort((term, -times * idf[term], tail))
+                tail, term = tail[order], term[order]
+                place = np.arange(len(tail)) - np.searchsorted(tail, tail)
+                routes = np.full((len(piece), ROUTE_TERMS), -1)
+                top = place < ROUTE_TERMS
+                routes[tail[top], place[top]] = term[top]
+                yield piece.assign(route=list(routes))
 
     fields = {f.name: f.dataType.simpleString() for f in tails.schema.fields}
     schema = ", ".join(f"{k} {v}" for k, v in fields.items()) + ", route array<int>"
-    routed = tails.mapInPandas(run, schema)
+    # Stored, since range partitioning reads it twice: once for the bounds.
+    routed = materialize(tails.mapInPandas(run, schema), "routed")
     return routed.repartitionByRange(partitions_for(n, SHARD), "route", "uid").sortWithinPartitions("route", "uid")
 
 
@@ -165,8 +179,8 @@ class Shard:
         own = self.of_doc[seed]
         top = own[np.argsort(-self.weights[own], kind="stable")[:QUERY_TERMS]]
         scores = np.zeros(len(self.tails))
-        for term in self.terms[top]:
-            first, last = np.searchsorted(self.terms, [term, term + 1])
+        terms = self.terms[top]
+        for first, last in zip(np.searchsorted(self.terms, terms).tolist(), np.searchsorted(self.terms, terms, "right").tolist()):
             scores[self.docs[first:last]] += self.weights[first:last]
         scores[~unused] = 0
         found = np.flatnonzero(scores)
@@ -196,12 +210,10 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float, win
         if room:
             unused = used < sizes
             near = shard.neighbours(seed, unused)
-            left = sizes - used
-            for tail in near:
-                if left[tail] <= room:
-                    room = take(int(tail), room)
-                if not room:
-                    break
+            fitting = near
+            while len(fitting := fitting[sizes[fitting] - used[fitting] <= room]) and room:
+                room = take(int(fitting[0]), room)
+                fitting = fitting[1:]
             rest = near if room else ()
             for tail in [*rest, *(np.flatnonzero(unused) if room else ())]:
                 if not room:
