@@ -26,7 +26,7 @@ WORDS = 5
 SIMILAR = (4, 5)
 BANDS = 32
 ROWS = 4
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Leaders per open bucket in the second round; each later round has so many times more.
 LEADERS = 16
 
