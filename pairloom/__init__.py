@@ -1,4 +1,4 @@
-"""Two-source entity resolution with active learning, as Spark DataFrame jobs."""
+"""Two-source entity resolution under a label budget, as Spark DataFrame jobs."""
 
 import sys
 

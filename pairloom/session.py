@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     folder = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="pairloom-")
     spark.conf.set(CHECKPOINT_KEY, folder)
