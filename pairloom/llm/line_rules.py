@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import WHITE, words_of
 from pairloom.session import materialize
 
-#: A line is boilerplate if more than max(LINE_FLOOR, LINE_SHARE of the host's distinct texts) hold it.
+#: A line is boilerplate if more than LINE_FLOOR distinct texts of its host hold it, however many texts the host has.
 LINE_FLOOR = 20
-LINE_SHARE = 0.1
+#: A caller may raise the limit to a share of the host's distinct texts; no query does.
+LINE_SHARE = 0.0
 #: A document is depleted if less than this share of its words is left.
 KEPT_SHARE = 0.5
 #: Salt of the join with boilerplate lines: a line that a third of all documents hold is split so often.
@@ -85,7 +86,8 @@ def score_rules(
     Verdicts hold one row per input row: doc_id, host_key, text_key, the counts, base_failed,
     n_removed_words and kept. A text fails the base rules with under 50 words or if over half
     of its words lie in repeated three-word windows. A line is removed if the number of
-    distinct texts of its host that hold it is over the limit: copies of one text count once.
+    distinct texts of its host that hold it is over ``floor`` (and over ``share`` of the host's
+    texts, if given): copies of one text count once, and small and large hosts have one limit.
     A document is depleted, and rejected, if less than ``kept_share`` of its words remain.
     The second table has (host_key, text_key, n_removed_words, removed) for the texts with
     boilerplate lines, which it names by the hash of the normalised line.
@@ -112,12 +114,12 @@ def score_rules(
 
     texts = rows.groupBy("host_key", "text_key").agg(F.first("own").alias("own"))
     texts = materialize(texts, "line_texts")
-    limits = texts.groupBy("host_key").agg(F.greatest(F.lit(floor), F.count(F.lit(1)) * share).alias("limit"))
     lines = texts.select("host_key", F.explode(F.array_distinct("own.line")).alias("line"))
     frequent = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") > floor)
-    frequent = materialize(
-        frequent.join(limits, "host_key").where(F.col("n_texts") > F.col("limit")).drop("limit"), "frequent_lines"
-    )
+    if share:
+        limits = texts.groupBy("host_key").agg((F.count(F.lit(1)) * share).alias("limit"))
+        frequent = frequent.join(limits, "host_key").where(F.col("n_texts") > F.col("limit")).drop("limit")
+    frequent = materialize(frequent, "frequent_lines")
     removed = _removed(texts, frequent)
     rows = rows.drop("own").join(removed.drop("removed"), ["host_key", "text_key"], "left")
     gone = F.coalesce("n_removed_words", F.lit(0)).cast("long")

@@ -73,6 +73,22 @@ def test_lines_over_the_limit_go(spark):
         assert r.n_chars == (len(r.text) if r.doc_id < 20 else 0)
 
 
+def test_the_limit_is_the_same_in_small_and_large_hosts(spark):
+    body = lambda i: "\n".join(" ".join(f"t{i}w{j}" for j in range(k, k + 10)) for k in range(0, 60, 10))
+    notice, rare = "all rights reserved by the house", "seen in twenty texts"
+    rows = []
+    for host, size in (("small", 40), ("large", 400)):
+        for i in range(size):
+            lines = [body(f"{host}{i}"), *[notice] * (i < 21), *[rare] * (i < 20)]
+            rows.append((len(rows), "\n".join(lines), "en", host, 0))
+    docs = shared.documents(spark, rows)
+    got, _ = line_rules.score_rules(docs)
+    removed = {r.doc_id: r.n_removed_words for r in got.collect()}
+    assert removed == {r[0]: 6 * (notice in r[1]) for r in rows}
+    out = line_rules.apply_rules(docs).collect()
+    assert len(out) == len(rows) and not any(notice in r.text for r in out) and sum(rare in r.text for r in out) == 40
+
+
 def test_given_documents(spark, small):
     docs = shared.given(spark, small)
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
