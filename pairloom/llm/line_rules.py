@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import WHITE, words_of
+from pairloom.llm.minhash import near_copies
 from pairloom.session import materialize
 
 #: A line is boilerplate if more than LINE_FLOOR distinct texts of its host hold it, however many texts the host has.
@@ -20,6 +21,8 @@ LINE_SHARE = 0.0
 KEPT_SHARE = 0.5
 #: Salt of the join with boilerplate lines: a line that a third of all documents hold is split so often.
 SALT = 16
+#: Bands of the near copies that count a line once; two texts that are just similar are missed once in 4,500 times.
+GROUP_BANDS = 16
 
 
 def normalised_lines(text: Column) -> Column:
@@ -80,6 +83,7 @@ def score_rules(
     floor: int = LINE_FLOOR,
     share: float = LINE_SHARE,
     kept_share: float = KEPT_SHARE,
+    near: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Verdicts, and the lines to remove from each text.
 
@@ -88,6 +92,8 @@ def score_rules(
     of its words lie in repeated three-word windows. A line is removed if the number of
     distinct texts of its host that hold it is over ``floor`` (and over ``share`` of the host's
     texts, if given): copies of one text count once, and small and large hosts have one limit.
+    With ``near`` a group of near copies counts once too, else its own lines would pass the
+    limit and no text of the group would be left.
     A document is depleted, and rejected, if less than ``kept_share`` of its words remain.
     The second table has (host_key, text_key, n_removed_words, removed) for the texts with
     boilerplate lines, which it names by the hash of the normalised line.
@@ -117,10 +123,15 @@ def score_rules(
     lines = texts.select("host_key", F.explode(F.array_distinct("own.line")).alias("line"))
     frequent = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") > floor)
     if share:
-        limits = texts.groupBy("host_key").agg((F.count(F.lit(1)) * share).alias("limit"))
-        frequent = frequent.join(limits, "host_key").where(F.col("n_texts") > F.col("limit")).drop("limit")
+        limits = texts.groupBy("host_key").agg(F.greatest(F.lit(floor), F.count(F.lit(1)) * share).alias("limit"))
+        frequent = frequent.join(limits, "host_key").where(F.col("n_texts") > F.col("limit"))
+    else:
+        frequent = frequent.withColumn("limit", F.lit(floor))
     frequent = materialize(frequent, "frequent_lines")
     removed = _removed(texts, frequent)
+    if near and not frequent.isEmpty():
+        frequent = _by_group(docs.select(body.alias("body")), removed, frequent)
+        removed = _removed(texts, frequent)
     rows = rows.drop("own").join(removed.drop("removed"), ["host_key", "text_key"], "left")
     gone = F.coalesce("n_removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -133,6 +144,21 @@ def score_rules(
     return verdicts, removed
 
 
+def _by_group(bodies: DataFrame, removed: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Those frequent lines that are over the limit with every group of near copies counted once.
+
+    Counting by group only lowers a count, so only the texts with a frequent line are grouped.
+    """
+    wanted = materialize(removed.select("text_key").distinct(), "line_holders").withColumnRenamed("text_key", "__text")
+    holders = bodies.join(wanted.hint("shuffle_hash"), F.xxhash64("body") == F.col("__text"))
+    classes = near_copies(holders, "__text", "body", bands=GROUP_BANDS, native=True)
+    classes = materialize(classes.select(F.col("k1").alias("text_key"), "class_id").distinct(), "line_groups")
+    held = removed.join(classes, "text_key").select("host_key", F.explode("removed").alias("line"), "class_id").distinct()
+    counts = held.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n_groups"))
+    over = frequent.join(materialize(counts, "line_counts"), ["host_key", "line"]).where(F.col("n_groups") > F.col("limit"))
+    return materialize(over.drop("n_groups"), "frequent_lines")
+
+
 def _removed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     """Stored (host_key, text_key, n_removed_words, removed: line hashes) for the texts that hold a boilerplate line.
 
@@ -154,12 +180,14 @@ def _removed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", **limits: float) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns, without their boilerplate lines.
 
+    A line counts once per group of near copies, so that such a group is left for the next stage.
+
     ``n_chars`` (if there) is set to the new length where lines went. The verdict and the
     lines follow from host and text alone, so they are joined on both; only texts with
     something to do are on the small side, which is hashed, so that texts are not sorted.
     """
     own = docs.withColumn("doc_id", F.lit(None).cast("long")) if "doc_id" not in docs.columns else docs
-    verdicts, removed = score_rules(own, host=host, text=text, **limits)
+    verdicts, removed = score_rules(own, host=host, text=text, near=True, **limits)
     keys = ["host_key", "text_key"]
     rejected = verdicts.where(~F.col("kept")).select(*keys).distinct().withColumn("rejected", F.lit(True))
     actions = materialize(rejected.join(removed.select(*keys, "removed"), keys, "full"), "actions").select(

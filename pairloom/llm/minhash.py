@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, mix, word_hashes
+from pairloom.llm.common import batches, mix, word_hashes, words_of
 from pairloom.operators.cluster import connected_components
 from pairloom.session import materialize
 
@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a bigint, b bigint, x bigint, y bigint")
 
 
-def shared_shingles(texts: DataFrame) -> DataFrame:
+def shared_shingles(texts: DataFrame, native: bool = False) -> DataFrame:
     """(node, size, common): how many shingles a text (node, body) has, and how many of them another text has too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,12 +183,60 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
                 owner, value, _ = shingles(piece.body.tolist())
                 yield pd.DataFrame({"node": piece.node.to_numpy()[owner], "shingle": value.view(np.int64)})
 
-    held = materialize(texts.select("node", "body").mapInPandas(run, "node bigint, shingle bigint"), "shingles")
+    if native:
+        held = texts.select("node", F.explode(shingle_column(F.col("body"))).alias("shingle"))
+    else:
+        held = texts.select("node", "body").mapInPandas(run, "node bigint, shingle bigint")
+    held = materialize(held, "shingles")
     common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", F.lit(1).alias("one"))
     joined = held.join(materialize(common, "common"), "shingle", "left")
     return joined.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count("one").alias("common"))
 
 
+def shingle_column(text: Column) -> Column:
+    """The distinct shingle hashes of a text, sorted, by DataFrame functions; other hashes than those of ``shingles``."""
+    window = lambda h, i: F.xxhash64(*[F.get(h, i + j) for j in range(WORDS)])
+
+    def of(h: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: window(h, i))
+        few = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) >= WORDS, whole).otherwise(few)
+
+    # The word hashes go through an array of one, so that they are a variable and not computed anew for each window.
+    hashes = F.transform(words_of(F.lower(text)), lambda word: F.xxhash64(word))
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(hashes), of), F.lit(0))))
+
+
+def native_sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
+    """What ``sketch`` returns, by DataFrame functions.
+
+    A register is the least hash from its own start on, around the circle of all hashes: it
+    agrees with the plain Jaccard similarity. The rows of a band lie far apart on the circle.
+    """
+    n = bands * rows
+    body = F.coalesce(F.col(text), F.lit(""))
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), *text_keys(body), body.alias("body"))
+    read = read.withColumn("s", shingle_column(F.col("body"))).drop("body")
+    cell = lambda h: F.floor((h / F.lit(2.0**63) + 1) * (n / 2)).cast("int")
+    s = F.col("s")
+    firsts = F.filter(s, lambda h, i: (i == 0) | (cell(h) != cell(F.get(s, i - 1))))
+    read = read.withColumn("f", F.transform(firsts, lambda h: F.struct(cell(h).alias("c"), h.alias("h")))).drop("s")
+    f = F.col("f")
+    later = lambda j: F.get(F.filter(f, lambda x: x["c"] >= j), F.lit(0))["h"]
+    registers = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(later(j), F.get(f, F.lit(0))["h"]))
+    read = read.withColumn("r", registers).drop("f")
+    key = lambda b: F.xxhash64(b, *[F.get("r", b + bands * j) for j in range(rows)])
+    return materialize(read.withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).drop("r"), "sketches")
+
+
+def native_verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """What ``verified`` returns, by DataFrame functions."""
+    a = texts.select(F.col("node").alias("a"), shingle_column(F.col("body")).alias("s_a"))
+    b = texts.select(F.col("node").alias("b"), shingle_column(F.col("body")).alias("s_b"))
+    common, both = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
+    return pairs.join(a, "a").join(b, "b").where(common * (SIMILAR[0] + SIMILAR[1]) >= both * SIMILAR[0]).select("a", "b", "x", "y")
+
+
 def _merge(links: DataFrame) -> DataFrame:
     """Stored (id, component): what linked components become."""
     links = materialize(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
@@ -201,7 +249,7 @@ def _renamed(rows: DataFrame, column: str, parts: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, native: bool = False
 ) -> DataFrame:
     """(doc_id, uid, k1, k2, class_id, kept) for every row; ``class_id`` is the least id of the class.
 
@@ -213,9 +261,11 @@ def near_copies(
 
     Null texts are empty; texts without words are alike and form one class; null ids
     take part and are never the least; repeated rows are in one class, of which one row is
-    kept; an empty table gives no rows; other columns are ignored.
+    kept; an empty table gives no rows; other columns are ignored. ``native`` runs no Python
+    on the executors.
     """
-    seen = sketch(docs, doc_id, text, bands, rows)
+    check = native_verified if native else verified
+    seen = (native_sketch if native else sketch)(docs, doc_id, text, bands, rows)
     nodes = materialize(seen.groupBy("k1", "k2").agg(F.min("uid").alias("node")), "nodes")
     leading = seen.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
     placed = leading.select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
@@ -237,7 +287,7 @@ def near_copies(
     lower, upper = F.least(leader, "node"), F.greatest(leader, "node")
     first = members.where("node <> leader").select(lower.alias("a"), upper.alias("b"), lower.alias("x"), upper.alias("y"))
     tested = materialize(first.distinct(), "pairs")
-    merged = [_merge(verified(tested, texts))]
+    merged = [_merge(check(tested, texts))]
     waiting = members.where("node <> leader").select("bucket", "node", F.col("node").alias("part"))
     chances, leaders = None, LEADERS
     while True:
@@ -248,7 +298,7 @@ def near_copies(
             break
         state = state.join(opened, "bucket", "left_semi")
         if chances is None:
-            chances = materialize(shared_shingles(texts.join(state.select("node").distinct(), "node")), "chances")
+            chances = materialize(shared_shingles(texts.join(state.select("node").distinct(), "node"), native), "chances")
         # The intersection of two sets holds only shingles that each shares with some other set.
         state = state.join(chances, "node")
         whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
@@ -272,7 +322,7 @@ def near_copies(
         )
         pairs = materialize(pairs, "pairs")
         tested = tested.unionByName(pairs)
-        merged.append(_merge(verified(pairs, texts)))
+        merged.append(_merge(check(pairs, texts)))
         done = chosen.select("bucket", F.col("leader").alias("node"))
         waiting = state.select("bucket", "node", "part").join(done, ["bucket", "node"], "left_anti")
         leaders *= LEADERS

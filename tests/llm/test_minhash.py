@@ -119,3 +119,9 @@ def test_given_documents(spark, small):
     docs = shared.given(spark, small)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check(docs, rows)
+
+
+def test_without_python_the_classes_are_the_same(spark, small):
+    for docs in (shared.given(spark, small), shared.documents(spark)):
+        same = [sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_copies(docs, native=n).collect()) for n in (False, True)]
+        assert same[0] == same[1]

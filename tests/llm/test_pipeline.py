@@ -61,3 +61,23 @@ def test_an_empty_table_passes_every_stage(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_a_group_of_near_copies_leaves_one_text(spark, small):
+    """Rules and dedup over near copies that keep most lines, and over texts that only share a notice."""
+    line = lambda name, k: " ".join(f"{name}{k}x{j}" for j in range(12))
+    base = [line("same", k) for k in range(30)]
+    rows = []
+    for i in range(40):
+        lines = list(base)
+        lines[i % 30] = line(f"own{i}", 0)
+        rows.append((i, "\n".join(lines), "en", "h", 0))
+    notice = "all rights reserved by the house"
+    rows += [(100 + i, "\n".join([*(line(f"text{i}", k) for k in range(6)), notice]), "en", "h", 0) for i in range(160)]
+    docs = shared.documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, small)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {i for i in texts if i < 100}
+    assert found == {min(classes(rows[:40]))} and all(texts[i] == rows[i][1] for i in found)
+    assert len(texts) == 161 and not any(notice in t for t in texts.values())
