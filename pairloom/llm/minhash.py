@@ -1,6 +1,7 @@
 """Near copies by ProbMinHash signatures, banding, and verification.
 
-A text is a weighted set of five-word shingles. Every shingle sends arrivals of a Poisson
+A text is a set of five-word shingles, all of weight 1 however often they occur: links are
+defined on plain sets, and the bands are sized for those. Every shingle sends arrivals of a Poisson
 process with its weight as rate; each arrival hits a random register, and a register
 keeps the shingle that hits it first. Two signatures agree in a register with the
 probability Jaccard similarity of the two sets. Arrivals stop once they come later than
@@ -130,9 +131,9 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> Da
         for frame in frames:
             for part in batches(frame.body.str.len().to_numpy(), BATCH_CHARS):
                 piece = frame.iloc[part]
-                text_no, value, times = shingles(piece.body.tolist())
-                # A shingle counts once fully and its repetitions by their logarithm.
-                found = signatures(text_no, value, 1 + np.log(times), len(piece), bands * rows)
+                text_no, value, _ = shingles(piece.body.tolist())
+                # Links are defined by plain sets: with equal weights two registers agree by their Jaccard similarity.
+                found = signatures(text_no, value, np.ones(len(value)), len(piece), bands * rows)
                 yield pd.DataFrame(
                     {
                         "doc_id": piece.doc_id.array,

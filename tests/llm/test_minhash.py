@@ -125,3 +125,14 @@ def test_without_python_the_classes_are_the_same(spark, small):
     for docs in (shared.given(spark, small), shared.documents(spark)):
         same = [sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_copies(docs, native=n).collect()) for n in (False, True)]
         assert same[0] == same[1]
+
+
+def test_repeated_passages_do_not_lower_the_agreement(spark):
+    """A passage 50 times in one text only; one-row bands agree as often as the Jaccard similarity says."""
+    words = [f"w{i}" for i in range(800)]
+    rows = [(1, " ".join(words[:270] * 49 + words + [f"a{i}" for i in range(90)])), (2, " ".join(words + [f"b{i}" for i in range(90)]))]
+    a, b = (sets(text) for _, text in rows)
+    exact = len(a & b) / len(a | b)
+    got = minhash.sketch(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2048, 1).collect()
+    agreed = (np.array(got[0].bands) == np.array(got[1].bands)).mean()
+    assert exact > 0.79 and abs(agreed - exact) < 4 * (exact * (1 - exact) / 2048) ** 0.5
