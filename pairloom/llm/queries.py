@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.alignment import align_documents
 from pairloom.llm.bpe import encode_documents
 from pairloom.llm.common import table
 from pairloom.llm.embedding_dedup import near_equal_vectors
@@ -78,6 +79,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_katz": op2_katz,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_line_rules": op9_line_rules,
     "op10_sharding": op10_sharding,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {}
