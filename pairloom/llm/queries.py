@@ -15,10 +15,13 @@ from pairloom.llm.embedding_dedup import near_equal_vectors
 from pairloom.llm.html_extract import extract_pages
 from pairloom.llm.line_rules import score_rules
 from pairloom.llm.katz import score_documents
+from pairloom.llm.manifest_sql import FIELDS, MANIFEST_SQL
+from pairloom.llm.merkle import LETTERS, merkle_manifest
 from pairloom.llm.minhash import near_copies
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.pii import KINDS, find_personal_data, span_list
 from pairloom.llm.quality import classify_documents
+from pairloom.llm.repeats import remove_repeats
 from pairloom.llm.sharding import shard_documents
 
 
@@ -79,6 +82,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    text = F.when(changed, F.translate("text", LETTERS, LETTERS.lower())).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), FIELDS, tampered={"text": text})
+
+
+def op12_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return align_documents(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
@@ -95,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_line_rules": op9_line_rules,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
+    "op12_bwt_merge": op12_bwt_merge,
     "op13_alignment": op13_alignment,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_merkle": MANIFEST_SQL}
