@@ -45,7 +45,7 @@ def main() -> None:
     metrics = {r["scope"]: {k: round(r[k], 4) for k in ("precision", "recall", "f1")} for r in run.metrics().collect()}
     for span, took in run.seconds.items():
         seconds[f"run_{span}"] = round(took, 3)
-    recall = {r["method"]: r["recall"] for r in REGISTRY["knn_recall"].run(spark, sf_dir).collect()}
+    recall = {r["method"]: {"recall": r["recall"], "compared": r["compared"]} for r in REGISTRY["knn_recall"].run(spark, sf_dir).collect()}
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "knn_recall": recall, "quality": metrics,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairloom.catalog.base import (
@@ -9,8 +10,9 @@ from pairloom.catalog.base import (
 )
 from pairloom.functions.strings import jaro_winkler
 from pairloom.functions.vectors import cosine, l2_normalize
-from pairloom.operators import cluster, embed, features, knn, labels, noisy, records
+from pairloom.operators import cluster, embed, features, kmeans, knn, labels, noisy, records
 from pairloom.operators.models import score_linear as linear_score
+from pairloom.session import materialize
 
 @query("l2_normalize", """SELECT vec_id AS id, unnest(range(len(v)))::INTEGER AS pos, round(unnest([x / n for x in v]), 6) AS value
   FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""")
@@ -37,9 +39,16 @@ def knn_join_exact(spark, sf):
 
 @query("knn_join_exact_cells", f"WITH {KNN_SQL} SELECT a_id, b_id, sim, rank::INTEGER AS rank FROM knn")
 def knn_join_exact_cells(spark, sf):
-    """The same join on the path large tables take: pruned cells and blocks, no broadcast index."""
+    """The same join over a grid of many small blocks."""
     a, b = vector_sides(spark, sf)
-    return labels.as_pairs(knn.knn_join_exact(b, a, K, broadcast_bytes=0, block_rows=128))
+    return labels.as_pairs(knn.knn_join_exact(b, a, K, block_rows=128))
+
+
+@query("knn_ivf_all_cells", f"WITH {KNN_SQL} SELECT a_id, b_id, sim, rank::INTEGER AS rank FROM knn")
+def knn_ivf_all_cells(spark, sf):
+    """The tree search with every leaf visited, which is the exact join."""
+    a, b = vector_sides(spark, sf)
+    return labels.as_pairs(knn.knn_join_cells(b, a, K, probes=(2**30, 2**30)))
 
 
 @query("knn_self_join", """SELECT query_id, index_id, sim, rank::INTEGER AS rank FROM (
@@ -55,13 +64,13 @@ def knn_self_join(spark, sf):
 @query("knn_join_ivf")
 def knn_join_ivf(spark, sf):
     a, b = vector_sides(spark, sf)
-    return labels.as_pairs(knn.knn_join_ivf(b, a, K))
+    return labels.as_pairs(knn.knn_join_cells(b, a, K))
 
 
 @query("knn_join_lsh")
 def knn_join_lsh(spark, sf):
     a, b = vector_sides(spark, sf)
-    return labels.as_pairs(knn.knn_join_lsh(b, a, K))
+    return labels.as_pairs(knn.knn_join_buckets(b, a, K))
 
 
 def recall_of(found, exact):
@@ -73,10 +82,21 @@ def recall_of(found, exact):
 
 @query("knn_recall")
 def knn_recall(spark, sf):
-    exact = neighbour_pairs(spark, sf)
-    ivf = recall_of(knn_join_ivf(spark, sf), exact).select(F.lit("ivf").alias("method"), "n", "recall")
-    lsh = recall_of(knn_join_lsh(spark, sf), exact).select(F.lit("lsh").alias("method"), "n", "recall")
-    return ivf.unionByName(lsh)
+    """Recall of both approximate joins, and the share of all pairs each compares."""
+    exact = materialize(neighbour_pairs(spark, sf), "exact")
+    a, b = vector_sides(spark, sf)
+    profile = knn.vector_profile(a)
+    built = knn.build_cells(a, profile=profile)
+    visits = materialize(knn.cell_visits(b, built, K), "visits")
+    pairs = b.count() * profile[1]
+    asking, searched = knn.bucket_sides(b, a, K, profile=profile)
+    shares = {"ivf": knn.compared_share(visits, built.rows, pairs), "lsh": knn.compared_share(asking, searched, pairs)}
+    found = {"ivf": knn.knn_join_cells(b, built, K), "lsh": knn.knn_join_buckets(b, a, K, profile=profile)}
+    rows = [
+        recall_of(labels.as_pairs(found[m]), exact).select(F.lit(m).alias("method"), "n", "recall", F.lit(round(shares[m], 4)).alias("compared"))
+        for m in ("ivf", "lsh")
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query("candidate_pool", f"WITH {KNN_SQL} SELECT DISTINCT a_id, b_id FROM knn")
@@ -171,6 +191,23 @@ def kmeans_chunks(spark, sf):
     return cluster.kmeans_chunks(vectors(spark, sf).select("id", "v"), 4).select("id", "chunk")
 
 
+@query("kmeans_update", """WITH seeds AS (SELECT embedding::DOUBLE[] AS c, row_number() OVER (ORDER BY vec_id) - 1 AS centre
+  FROM embeddings ORDER BY vec_id LIMIT 4),
+near AS (SELECT vec_id, embedding::DOUBLE[] AS v, arg_min(centre, (list_distance(embedding::DOUBLE[], c), centre)) AS centre,
+  min(list_distance(embedding::DOUBLE[], c)) AS away FROM embeddings, seeds GROUP BY ALL),
+sizes AS (SELECT centre, count(*) AS n, sum(away * away) AS cost FROM near GROUP BY centre),
+means AS (SELECT centre, pos, avg(value) AS value FROM (
+  SELECT centre, unnest(range(len(v)))::INTEGER AS pos, unnest(v) AS value FROM near) GROUP BY centre, pos)
+SELECT m.centre, n, round(cost, 4) AS cost, pos, round(value, 6) AS value FROM means m JOIN sizes s ON s.centre = m.centre""")
+def kmeans_update(spark, sf):
+    """One whole-table step of k-means from the four vectors of the lowest ids."""
+    rows = vectors(spark, sf)
+    seeds = np.array([r["v"] for r in rows.orderBy("id").limit(4).collect()], np.float64)
+    moved = kmeans.one_pass(rows, seeds[None], batch=None)
+    return moved.select("centre", "n", F.round("cost", 4).alias("cost"), F.posexplode("v").alias("pos", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
 @query("embed_hashing")
 def embed_hashing(spark, sf):
     docs = records.prepare_records(documents(spark, sf).select("id", "body"), ["body"], "d")
@@ -215,8 +252,6 @@ def cluster_positives(spark, sf):
   SELECT * FROM negatives UNION ALL SELECT * FROM (SELECT * FROM positives
     ORDER BY md5(first_id || '#' || second_id || '#42') LIMIT (SELECT count(*) FROM negatives))""")
 def mine_noisy_pairs(spark, sf):
-    from pairloom.session import materialize
-
     rows = _clustered(spark, sf)
     edges = materialize(noisy.neighbour_edges(rows), "edges")
     return noisy.mine_noisy_pairs(rows.drop("v"), edges, "a", "b")

@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators.knn import assign_nearest
+from pairloom.operators.kmeans import fit_centres, nearest
+from pairloom.operators.knn import assign_nearest, vector_profile
 from pairloom.session import materialize
 
-RESTARTS = 3
 
+def kmeans_chunks(records: DataFrame, chunks: int, seed: int = 42, dims: int | None = None, centres: np.ndarray | None = None) -> DataFrame:
+    """Add ``chunk`` to every record of one vector width: the nearest of the centres that
+    mini-batch k-means fits on all records, or of those given."""
+    if centres is None:
+        dims = dims or vector_profile(records)[0]
+        centres = fit_centres(records, chunks, dims, seed)
+    shared = records.sparkSession.sparkContext.broadcast(centres)
 
-def kmeans_chunks(records: DataFrame, chunks: int, seed: int = 42, fit_rows: int = 100_000, rows: int | None = None) -> DataFrame:
-    """Add ``chunk`` to every record. The best of three seeded fits wins, by training cost.
+    @F.pandas_udf("int")
+    def nearest_of(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.array(v.tolist(), np.float64).reshape(len(v), -1), shared.value)[0].astype(np.int32))
 
-    A handful of centres needs no more than ``fit_rows`` random records to settle,
-    so larger tables are fitted on a random draw and only assigned in full.
-    """
-    ready = records.withColumn("_features", array_to_vector(F.col("v").cast("array<double>")))
-    rows = records.count() if rows is None else rows
-    drawn = ready if rows <= fit_rows else ready.sample(fraction=fit_rows / rows, seed=seed)
-    fits = [
-        KMeans(k=chunks, seed=seed + i, maxIter=10, featuresCol="_features", predictionCol="chunk").fit(drawn)
-        for i in range(RESTARTS)
-    ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(ready).drop("_features")
+    return records.filter(F.size("v") == centres.shape[1]).withColumn("chunk", nearest_of("v"))
 
 
 def chunk_sizes(chunked: DataFrame) -> DataFrame:

@@ -4,52 +4,51 @@ All joins return ``(query_id, index_id, sim, rank)``: for each query row its ``k
 most similar index rows, ranked by the similarity rounded to six digits and then by
 id, so equal scores always come out in the same order.
 
-An index that fits a fixed number of bytes is broadcast and searched without a
-shuffle. Anything larger is spread over cells; queries are sent to the cells they
-may find neighbours in, and the two meet in an equi-join on the cell. What differs
-between the joins is only how cells are made and which of them a query visits:
-
-* exact: cells around pivots, all cells a similarity bound cannot rule out;
-* ivf: k-means cells, the nearest ``nprobe`` (more if those hold fewer than k rows);
-* lsh: random-projection buckets, one per band.
-
-A cell of any size is cut into a grid of blocks of bounded size, so a cell holding
-a third of all rows becomes many tasks and no group outgrows a worker. Each block
-pair emits its own top k, never all its pairs.
+Queries and index rows meet in blocks of bounded size, and each pair of blocks emits the top
+k of its queries, never its pairs. The joins differ in which blocks meet, at every size
+in the same way:
+
+* exact: all rows of both sides are cut into a grid of blocks, and each pair meets once;
+* cells: index rows lie in the leaves of a two-level tree of centres and a query visits the
+  nearest leaves, itself a k-nearest-neighbour join with the leaves' centres;
+* buckets: rows lie in buckets of random projections, and a query visits its own bucket
+  and the nearest ones beside it.
+
+How many leaves or buckets a query visits is measured: enough for the wanted recall on a
+sample of the queries, whose true neighbours come from the exact join. A cell of any
+size is cut into a grid of blocks, so one that holds a third of all rows becomes many tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from pairloom.functions.text import shuffle_key
-from pairloom.functions.vectors import l2_normalize
+from pairloom.operators.kmeans import fit_centres, fit_within, unit_rows
 from pairloom.session import materialize
 
 DIGITS = 6
-SLACK = 2e-6  # rounding of similarities, twice over, when a bound rules a cell out
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 TILE = 1 << 22  # similarities held at once
-MAX_CELLS = 16_384
+RECALL = 0.95  # share of true neighbours to be found among those of a sample of queries
+SAMPLE = 256  # queries in that sample
+COARSE_ROWS = 16_384  # index rows per cell of the upper level, while there are fewer such cells than sqrt(rows)
+SLICE_ROWS = 65_536  # rows whose leaves are fitted together
+PROBES = 1000  # sets of neighbouring buckets considered per band
 
 
 def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     """Unit rows as float64; a zero row stays zero."""
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return unit_rows(rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64))
 
 
 def _top(queries: np.ndarray, index: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,7 @@ def _flat(column) -> pa.Array:
 def _vectors(df: DataFrame, name: str, dims: int) -> DataFrame:
     """``(name, v)`` without rows whose vector is missing or of another width."""
     usable = F.col("id").isNotNull() & (F.size("v") == dims)
-    return df.filter(usable).select(F.col("id").alias(name), F.col("v").cast("array<double>").alias("v"))
+    return df.filter(usable).select(F.col("id").alias(name), F.col("v"))
 
 
 def vector_profile(df: DataFrame) -> tuple[int, int]:
@@ -131,83 +130,161 @@ def _ranked(candidates: DataFrame, k: int, repeats: bool = False) -> DataFrame:
     return best.dropDuplicates(["query_id", "index_id"]) if repeats else best
 
 
-# --- small index: broadcast, no shuffle ------------------------------------------
+# --- block join ------------------------------------------------------------------
 
 
-def _broadcast_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool) -> DataFrame:
-    table = index.toArrow()
-    ids, matrix = _sorted_index(_flat(table["index_id"]), _matrix(table["v"], dims))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+def _search(dims: int, k: int, exclude_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The top k of every query of one block among the index rows of another."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index_ids, index_matrix = shared.value
-        for batch in batches:
-            query_ids = batch.column(0)
-            own = _own_position(query_ids, index_ids) if exclude_self else None
-            where, score = _top(_matrix(batch.column(1), dims), index_matrix, k, own)
-            yield pa.RecordBatch.from_arrays(
-                _rows(query_ids, index_ids, where, score), names=["query_id", "index_id", "sim"]
-            )
+    def search(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
+        ids, matrix = _sorted_index(_flat(right_rows["index_id"]), _matrix(right_rows["v"], dims))
+        query_ids = _flat(left_rows["query_id"])
+        if len(ids) and len(query_ids):
+            own_at = _own_position(query_ids, ids) if exclude_self else None
+            where, score = _top(_matrix(left_rows["v"], dims), matrix, k, own_at)
+        else:
+            where, score = np.zeros((len(query_ids), 0), np.int64), np.zeros((len(query_ids), 0))
+        return pa.Table.from_arrays(_rows(query_ids, ids, where, score), names=["query_id", "index_id", "sim"])
+
+    return search
+
+
+def _block(key: str, count: int | str):
+    return F.pmod(F.xxhash64(key), F.col(count) if isinstance(count, str) else F.lit(count)).cast("int")
+
+
+def _each(count: int | str):
+    return F.explode(F.sequence(F.lit(0), (F.col(count) if isinstance(count, str) else F.lit(count)) - 1))
+
+
+def _grid_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool, query_blocks: int, index_blocks: int) -> DataFrame:
+    """All rows of both sides, cut into numbered blocks by hash; each pair of blocks meets in one task."""
+    left = queries.select("query_id", "v", _block("query_id", query_blocks).alias("qb"), _each(index_blocks).alias("ib"))
+    right = index.select("index_id", "v", _block("index_id", index_blocks).alias("ib"), _each(query_blocks).alias("qb"))
+    joined = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib"))
+    return joined.applyInArrow(_search(dims, k, exclude_self), _candidate_schema(queries, index))
+
+
+def _block_join(queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Join ``(query_id, v, cell)`` and ``(index_id, v, cell)`` on the cell and emit the
+    top k of each query per block.
+
+    A cell with i index and q query rows becomes ceil(i/block) x ceil(q/block)
+    blocks, chosen by hash, so blocks stay near ``block_rows`` rows a side.
+    """
+    layout = materialize(cell_layout(queries, index, block_rows), "layout").select("cell", "q_blocks", "i_blocks")
+    left = queries.join(layout, "cell").select(
+        "query_id", "v", "cell", _block("query_id", "q_blocks").alias("qb"), _each("i_blocks").alias("ib"))
+    right = index.join(layout, "cell").select(
+        "index_id", "v", "cell", _block("index_id", "i_blocks").alias("ib"), _each("q_blocks").alias("qb"))
+    keys = ["cell", "ib", "qb"]
+    joined = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return joined.applyInArrow(_search(dims, k, exclude_self), _candidate_schema(queries, index))
+
+
+def cell_layout(queries: DataFrame, index: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(cell, nq, ni, q_blocks, i_blocks)`` of the cells that hold rows of both sides."""
 
-    return queries.mapInArrow(search, _candidate_schema(queries, index))
+    def counted(side: DataFrame, n: str, blocks: str) -> DataFrame:
+        return side.groupBy("cell").agg(F.count("*").alias(n)).withColumn(blocks, F.ceil(F.col(n) / F.lit(block_rows)).cast("int"))
 
+    return counted(index, "ni", "i_blocks").join(counted(queries, "nq", "q_blocks"), "cell")
 
-# --- cells -----------------------------------------------------------------------
+
+def compared_share(queries: DataFrame, index: DataFrame, all_pairs: int) -> float:
+    """Share of all pairs of a query and an index row that meet in cells; a pair that meets twice counts twice."""
+    met = cell_layout(queries, index).agg(F.sum(F.col("nq") * F.col("ni")).alias("n")).first()["n"]
+    return (met or 0) / all_pairs if all_pairs else 0.0
+
+
+# --- exact -------------------------------------------------------------------------
+
+
+def knn_join_exact(
+    queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
+    profile: tuple[int, int] | None = None,
+) -> DataFrame:
+    """The k most similar ``index`` rows per row of ``queries``; both are ``(id, v)``.
+
+    ``profile`` is the ``vector_profile`` of the index, if already known.
+    """
+    dims, rows = profile or vector_profile(index)
+    asking, searched = _vectors(queries, "query_id", dims), _vectors(index, "index_id", dims)
+    asked = asking.count()
+    # Few blocks would leave cores idle: the larger side is cut further then.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    cut = [max(1, -(-n // block_rows)) for n in (asked, rows)]
+    larger = 0 if asked >= rows else 1
+    cut[larger] = max(cut[larger], min(cores, -(-max(asked, rows) // 64)))
+    return _ranked(_grid_join(asking, searched, k, dims, exclude_self, *cut), k)
+
+
+# --- cells -------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class CellIndex:
-    """The index side, assigned to cells: ``rows`` (index_id, v, cell) and, per cell,
-    its centre, the widest angle to a member and its row count."""
+    """The index side in a two-level tree: ``rows`` (index_id, v, coarse, cell), its leaves
+    ``leaves`` (index_id: the cell, v: its centre, n, coarse), and the upper centres with their row counts."""
 
     rows: DataFrame
-    centres: np.ndarray
-    angles: np.ndarray
+    leaves: DataFrame
+    coarse: np.ndarray
     sizes: np.ndarray
-    pivots: bool
 
     @property
     def dims(self) -> int:
-        return self.centres.shape[1]
-
+        return self.coarse.shape[1]
 
-def cell_number(n_rows: int) -> int:
-    """About sqrt(n) cells, within a fixed bound so the centres always fit a broadcast."""
-    return int(min(max(np.sqrt(n_rows), 1), MAX_CELLS))
+    @property
+    def n_rows(self) -> int:
+        return int(self.sizes.sum())
 
 
 def build_cells(
-    index: DataFrame, method: str = "kmeans", cells: int | None = None, seed: int = 42, min_pivots: int = 1,
-    profile: tuple[int, int] | None = None,
+    index: DataFrame, seed: int = 42, profile: tuple[int, int] | None = None,
+    coarse_rows: int = COARSE_ROWS, slice_rows: int = SLICE_ROWS,
 ) -> CellIndex:
-    """Assign every index row to its nearest centre and keep the result as a table.
+    """Fit the tree on all rows ``(id, v)`` and assign them.
 
-    ``method='kmeans'`` fits centres on a bounded draw of rows (64 per cell); all
-    rows are assigned. ``method='pivots'`` uses index rows themselves as centres.
+    The upper level is a mini-batch k-means of at most sqrt(n) centres. Below each centre
+    the tasks that hold its rows fit about 2 sqrt(m) leaves for m rows; a cell with more than
+    ``slice_rows`` rows is fitted in slices, each with leaves of its own.
     """
     dims, n = profile or vector_profile(index)
     rows = _vectors(index, "index_id", dims)
-    cells = min(cells or cell_number(n), n)
-    if method == "pivots":
-        cells = min(max(cells, min_pivots), n)
-        drawn = rows.orderBy(shuffle_key(["index_id"], seed)).limit(cells).toArrow()
-        centres = _matrix(drawn["v"], dims)
-    elif method == "kmeans":
-        wanted = cells * 64
-        sample = rows if n <= wanted * 2 else rows.sample(fraction=wanted / n, seed=seed)
-        unit = sample.select(array_to_vector("v").alias("features"))
-        fitted = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
-        centres = np.array(fitted.clusterCenters())
-        norm = np.linalg.norm(centres, axis=1, keepdims=True)
-        centres = np.divide(centres, norm, out=np.zeros_like(centres), where=norm > 0)
-    else:
-        raise ValueError("method is 'kmeans' or 'pivots'")
-    assigned = materialize(assign_nearest(rows, centres), "cells")
-    stats = assigned.groupBy("cell").agg(F.max("angle").alias("angle"), F.count("*").alias("size")).collect()
-    angles, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
-    for row in stats:
-        angles[row["cell"]], sizes[row["cell"]] = row["angle"], row["size"]
-    return CellIndex(assigned.select("index_id", "v", "cell"), centres, angles, sizes, method == "pivots")
+    cells = max(1, int(min(-(-n // coarse_rows), np.ceil(np.sqrt(n)))))
+    coarse = unit_rows(fit_centres(rows.withColumnRenamed("index_id", "id"), cells, dims, seed, starts=1, unit=True))
+    placed = materialize(assign_nearest(rows, coarse).select("index_id", "v", F.col("cell").alias("coarse")), "coarse")
+    counted = placed.groupBy("coarse").agg(F.count("*").alias("n"))
+    slices = materialize(counted.withColumn("slices", F.ceil(F.col("n") / F.lit(slice_rows)).cast("int")), "slices")
+    sizes = np.zeros(len(coarse), np.int64)
+    for row in slices.collect():
+        sizes[row["coarse"]] = row["n"]
+    sliced = placed.join(slices.select("coarse", "slices"), "coarse").select(
+        "index_id", "v", "coarse", _block("index_id", "slices").alias("slice"))
+    schema = StructType([*placed.schema.fields, StructField("cell", LongType())])
+
+    def leaves(group: pa.Table) -> pa.Table:
+        matrix = _matrix(group["v"], dims)
+        at = fit_within(matrix, int(np.ceil(2 * np.sqrt(len(matrix)))), seed)
+        first = (group["coarse"][0].as_py() << 40) | (group["slice"][0].as_py() << 20)
+        return group.select(["index_id", "v", "coarse"]).append_column("cell", pa.array(at.astype(np.int64) + first))
+
+    assigned = materialize(sliced.groupBy("coarse", "slice").applyInArrow(leaves, schema), "cells")
+    return CellIndex(assigned, materialize(_centres(assigned, dims), "leaves"), coarse, sizes)
+
+
+def _centres(assigned: DataFrame, dims: int) -> DataFrame:
+    """``(index_id, v, n, coarse)``: the mean of the unit vectors of each cell."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from pairloom.functions.vectors import l2_normalize
+
+    unit = array_to_vector(l2_normalize(F.col("v")))
+    means = assigned.groupBy("coarse", "cell").agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(unit)).alias("v"))
+    return means.select(F.col("cell").alias("index_id"), "v", "n", "coarse")
 
 
 def assign_nearest(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -228,212 +305,273 @@ def assign_nearest(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(nearest, schema)
 
 
-def _visits(
-    queries: DataFrame, choose: Callable[[np.ndarray], np.ndarray], dims: int, centres: np.ndarray
-) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, v, cell)``, one row per cell a query visits, and the same as ``(cell)``
-    alone for counting. ``choose`` maps query-centre cosines to a boolean matrix."""
-    shared = queries.sparkSession.sparkContext.broadcast(centres)
+def _coarse_visits(queries: DataFrame, built: CellIndex, wanted: int, probes: int) -> DataFrame:
+    """``(query_id, v, cell)``: the upper cells that each query enters."""
+    shared = queries.sparkSession.sparkContext.broadcast((built.coarse, built.sizes))
     cells = StructField("cells", ArrayType(IntegerType()))
-    step = max(TILE // len(centres), 1)
+    step, dims = max(TILE // len(built.coarse), 1), built.dims
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, sizes = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                wanted = choose(_matrix(batch.column(1), dims) @ shared.value.T)
-                row, cell = np.nonzero(wanted)
-                offsets = np.searchsorted(row, np.arange(len(wanted) + 1)).astype(np.int32)
+                chosen = _nearest_cells(_matrix(batch.column(1), dims) @ centres.T, sizes, wanted, probes)
+                row, cell = np.nonzero(chosen)
+                offsets = np.searchsorted(row, np.arange(len(chosen) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["query_id", "v", "cells"])
 
-    def plan_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for planned in plan(batches):
-            yield planned.select(["cells"])
-
     full = queries.mapInArrow(plan, StructType([*queries.schema.fields, cells]))
-    return (
-        full.select("query_id", "v", F.explode("cells").alias("cell")),
-        queries.mapInArrow(plan_cells, StructType([cells])).select(F.explode("cells").alias("cell")),
-    )
-
-
-def _bound_rule(cells: CellIndex, k: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Visit every cell that could hold one of the k best.
-
-    Pivots are index rows, so the k-th best pivot bounds the k-th best neighbour
-    from below, and the triangle inequality on angles bounds a cell from above.
-    """
-    angles, filled = cells.angles, cells.sizes > 0
-
-    def choose(cosines: np.ndarray) -> np.ndarray:
-        n, m = cosines.shape
-        if m < k:
-            return np.broadcast_to(filled, (n, m))
-        floor = np.partition(cosines, m - k, axis=1)[:, m - k, None]
-        gap = np.maximum(np.arccos(np.clip(cosines, -1, 1)) - angles, 0)
-        return (np.cos(gap) + SLACK >= floor) & filled
-
-    return choose
-
-
-def _nearest_rule(cells: CellIndex, k: int, nprobe: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Visit the nearest cells: at least ``nprobe``, and until they hold k rows."""
-    sizes = cells.sizes
-
-    def choose(cosines: np.ndarray) -> np.ndarray:
-        cosines = np.where(sizes > 0, cosines, -np.inf)
-        order = np.argsort(-cosines, axis=1, kind="stable")
-        held = np.cumsum(sizes[order], axis=1)
-        before = np.concatenate([np.zeros((len(order), 1), np.int64), held[:, :-1]], axis=1)
-        take = ((np.arange(order.shape[1]) < nprobe) | (before < k)) & (sizes[order] > 0)
-        wanted = np.zeros(cosines.shape, bool)
-        np.put_along_axis(wanted, order, take, axis=1)
-        return wanted
-
-    return choose
-
-
-# --- block join ------------------------------------------------------------------
-
-
-def _block_join(
-    queries: DataFrame, index: DataFrame, k: int, dims: int, exclude_self: bool, block_rows: int,
-    query_cells: DataFrame | None = None, bounded_cells: bool = False,
-) -> DataFrame:
-    """Join ``(query_id, v, cell)`` and ``(index_id, v, cell)`` on the cell and emit the
-    top k of each query per block. ``query_cells`` are the cells of ``queries`` alone,
-    if they can be had more cheaply; ``bounded_cells`` says there are at most MAX_CELLS.
-
-    A cell with i index and q query rows becomes ceil(i/block) x ceil(q/block)
-    blocks, chosen by hash, so blocks stay near ``block_rows`` rows a side.
-    """
-    def blocks(count: str, name: str):
-        return F.ceil(F.col(count) / F.lit(block_rows)).cast("int").alias(name)
-
-    index_sizes = index.groupBy("cell").agg(F.count("*").alias("ni")).select("cell", blocks("ni", "i_blocks"))
-    asked = queries.select("cell") if query_cells is None else query_cells
-    query_sizes = asked.groupBy("cell").agg(F.count("*").alias("nq")).select("cell", blocks("nq", "q_blocks"))
-    layout = materialize(index_sizes.join(query_sizes, "cell"), "layout")
-    if bounded_cells:
-        layout = F.broadcast(layout)
-
-    def others(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    def own(key: str, count: str):
-        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
-
-    left = queries.join(layout, "cell").select(
-        "query_id", "v", "cell", own("query_id", "q_blocks").alias("qb"), others("i_blocks").alias("ib"))
-    right = index.join(layout, "cell").select(
-        "index_id", "v", "cell", own("index_id", "i_blocks").alias("ib"), others("q_blocks").alias("qb"))
-    keys = ["cell", "ib", "qb"]
-
-    def search(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        ids, matrix = _sorted_index(_flat(right_rows["index_id"]), _matrix(right_rows["v"], dims))
-        query_ids = _flat(left_rows["query_id"])
-        if len(ids) and len(query_ids):
-            own_at = _own_position(query_ids, ids) if exclude_self else None
-            where, score = _top(_matrix(left_rows["v"], dims), matrix, k, own_at)
-        else:
-            where, score = np.zeros((len(query_ids), 0), np.int64), np.zeros((len(query_ids), 0))
-        return pa.Table.from_arrays(_rows(query_ids, ids, where, score), names=["query_id", "index_id", "sim"])
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, _candidate_schema(queries, index))
-
-
-def knn_join_exact(
-    queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, cells: int | None = None,
-    profile: tuple[int, int] | None = None,
+    return full.select("query_id", "v", F.explode("cells").alias("cell"))
+
+
+def _nearest_cells(cosines: np.ndarray, sizes: np.ndarray, wanted: int, probes: int) -> np.ndarray:
+    """Which cells are entered: the nearest ``probes``, and on until they hold ``wanted`` rows."""
+    cosines = np.where(sizes > 0, cosines, -np.inf)
+    order = np.argsort(-cosines, axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1)
+    before = np.concatenate([np.zeros((len(order), 1), np.int64), held[:, :-1]], axis=1)
+    take = ((np.arange(order.shape[1]) < probes) | (before < wanted)) & (sizes[order] > 0)
+    chosen = np.zeros(cosines.shape, bool)
+    np.put_along_axis(chosen, order, take, axis=1)
+    return chosen
+
+
+def _leaf_visits(queries: DataFrame, built: CellIndex, wanted: int, probes: tuple[int, int], block_rows: int) -> DataFrame:
+    """``(query_id, cell)``: the leaves each query visits, found as its nearest leaf centres."""
+    entered = _coarse_visits(queries, built, wanted, probes[0])
+    centres = built.leaves.select("index_id", "v", F.col("coarse").alias("cell"))
+    near = _ranked(_block_join(entered, centres, max(probes[1], wanted), built.dims, False, block_rows), max(probes[1], wanted))
+    sized = near.join(built.leaves.select("index_id", "n"), "index_id")
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = sized.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("rank") <= probes[1]) | (F.col("before") < wanted))
+    return chosen.select("query_id", F.col("index_id").alias("cell"))
+
+
+def _sample(queries: DataFrame, n: int, seed: int) -> DataFrame:
+    return materialize(queries.orderBy(shuffle_key(["query_id"], seed)).limit(n), "sample")
+
+
+def _reach(ranks: np.ndarray, share: float) -> int:
+    """The least number of visits that reaches ``share`` of the neighbours; ``ranks`` count from 0."""
+    return int(np.sort(ranks)[max(0, int(np.ceil(share * len(ranks))) - 1)]) + 1 if len(ranks) else 1
+
+
+def calibrate_cells(
+    queries: DataFrame, built: CellIndex, k: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 42, exclude_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> tuple[int, int]:
+    """(upper cells, leaves) a query has to visit so that ``recall`` of the true k neighbours of a
+    sample of queries lie there. The true neighbours come from the exact join with all rows."""
+    drawn = _sample(_vectors(queries, "query_id", built.dims), sample, seed)
+    index = built.rows.select(F.col("index_id").alias("id"), "v")
+    true = knn_join_exact(
+        drawn.select(F.col("query_id").alias("id"), "v"), index, k, exclude_self=exclude_self, block_rows=block_rows, profile=(built.dims, built.n_rows))
+    true = materialize(true.join(built.rows.select("index_id", "coarse", "cell"), "index_id").select("query_id", "coarse", "cell"), "true")
+    vectors = drawn.toArrow()
+    place = {q: i for i, q in enumerate(vectors["query_id"].to_pylist())}
+    cosines = np.where(built.sizes > 0, _matrix(vectors["v"], built.dims) @ built.coarse.T, -np.inf) if len(place) else np.zeros((0, len(built.sizes)))
+    order = np.argsort(np.argsort(-cosines, axis=1, kind="stable"), axis=1)
+    upper = _reach(np.array([order[place[r["query_id"]], r["coarse"]] for r in true.collect()], np.int64), (1 + recall) / 2)
+    entered = _coarse_visits(drawn, built, k, upper)
+    centres = built.leaves.select("index_id", "v", F.col("coarse").alias("cell"))
+    leaves = built.leaves.count()
+    near = _ranked(_block_join(entered, centres, leaves, built.dims, False, block_rows), leaves)
+    found = true.join(near.select("query_id", F.col("index_id").alias("cell"), "rank"), ["query_id", "cell"], "left")
+    ranks = [leaves if r["rank"] is None else r["rank"] - 1 for r in found.select("rank").collect()]
+    return upper, min(_reach(np.array(ranks, np.int64), recall), leaves)
+
+
+def knn_join_cells(
+    queries: DataFrame, index: DataFrame | CellIndex, k: int, *, recall: float = RECALL, probes: tuple[int, int] | None = None,
+    exclude_self: bool = False, block_rows: int = BLOCK_ROWS, seed: int = 42, profile: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The k most similar ``index`` rows per row of ``queries``; both are ``(id, v)``.
-
-    ``profile`` is the ``vector_profile`` of the index, if already known.
-    """
-    dims, rows = profile or vector_profile(index)
-    asking, searched = _vectors(queries, "query_id", dims), _vectors(index, "index_id", dims)
-    if rows * (dims * 8 + 64) <= broadcast_bytes:
-        return _ranked(_broadcast_join(asking, searched, k, dims, exclude_self), k)
-    wanted = k + 1 if exclude_self else k
-    pivots = build_cells(index, "pivots", cells, min_pivots=wanted, profile=(dims, rows))
-    visits, cells_only = _visits(asking, _bound_rule(pivots, wanted), dims, pivots.centres)
-    return _ranked(_block_join(visits, pivots.rows, k, dims, exclude_self, block_rows, cells_only, True), k)
+    """Approximate join over the leaves of a tree. Pass a ``CellIndex`` to reuse one index, and
+    ``probes`` (upper cells, leaves) to set the visits by hand. A query always gets min(k, index rows) neighbours."""
+    built = index if isinstance(index, CellIndex) else build_cells(index, seed, profile)
+    visits = cell_visits(queries, built, k, recall, probes, exclude_self, block_rows, seed)
+    leaves = built.rows.select("index_id", "v", "cell")
+    return _ranked(_block_join(visits, leaves, k, built.dims, exclude_self, block_rows), k)
 
 
-def knn_join_ivf(
-    queries: DataFrame, index: DataFrame | CellIndex, k: int, *, nprobe: int = 16, cells: int | None = None,
+def cell_visits(
+    queries: DataFrame, built: CellIndex, k: int, recall: float = RECALL, probes: tuple[int, int] | None = None,
     exclude_self: bool = False, block_rows: int = BLOCK_ROWS, seed: int = 42,
 ) -> DataFrame:
-    """Approximate join over k-means cells. Pass a ``CellIndex`` to reuse one index.
-    A query always gets min(k, index rows) neighbours."""
-    built = index if isinstance(index, CellIndex) else build_cells(index, "kmeans", cells, seed)
-    dims = built.dims
+    """``(query_id, v, cell)``, stored: the leaves in which each query is answered."""
+    asking = _vectors(queries, "query_id", built.dims)
     wanted = k + 1 if exclude_self else k
-    asking = _vectors(queries, "query_id", dims)
-    visits, cells_only = _visits(asking, _nearest_rule(built, wanted, nprobe), dims, built.centres)
-    return _ranked(_block_join(visits, built.rows, k, dims, exclude_self, block_rows, cells_only, True), k)
+    probes = probes or calibrate_cells(queries, built, k, recall, seed=seed, exclude_self=exclude_self, block_rows=block_rows)
+    visited = materialize(_leaf_visits(asking, built, wanted, probes, block_rows), "visits")
+    return visited.join(asking, "query_id").select("query_id", "v", "cell")
 
 
-def knn_join(
-    queries: DataFrame, index: DataFrame | CellIndex, k: int, *, exact_rows: int = 100_000,
-    profile: tuple[int, int] | None = None, **options,
-) -> DataFrame:
-    """Exact up to ``exact_rows`` index rows, over k-means cells beyond."""
+def knn_join(queries: DataFrame, index: DataFrame | CellIndex, k: int, *, search: str = "cells", **options) -> DataFrame:
+    """The join named by ``search``: 'exact', 'cells' or 'buckets', whatever the sizes."""
     if isinstance(index, CellIndex):
-        return knn_join_ivf(queries, index, k, **options)
-    profile = profile or vector_profile(index)
-    if profile[1] <= exact_rows:
-        return knn_join_exact(queries, index, k, exclude_self=options.get("exclude_self", False), profile=profile)
-    return knn_join_ivf(queries, index, k, **options)
+        options.pop("profile", None)
+        return knn_join_cells(queries, index, k, **options)
+    joins = {"exact": knn_join_exact, "cells": knn_join_cells, "buckets": knn_join_buckets}
+    if search not in joins:
+        raise ValueError(f"search is one of {sorted(joins)}")
+    return joins[search](queries, index, k, **options)
 
 
-def knn_self_join(df: DataFrame, k: int, *, exact: bool = True, **options) -> DataFrame:
+def knn_self_join(df: DataFrame, k: int, *, search: str = "exact", **options) -> DataFrame:
     """The k nearest other rows of the same table."""
-    join = knn_join_exact if exact else knn_join_ivf
-    return join(df, df, k, exclude_self=True, **options)
+    return knn_join(df, df, k, search=search, exclude_self=True, **options)
 
 
 # --- random-projection buckets -----------------------------------------------------
 
 
-def knn_join_lsh(
-    queries: DataFrame, index: DataFrame, k: int, *, bands: int = 8, rows_per_band: int = 2,
-    bucket_length: float = 0.5, block_rows: int = BLOCK_ROWS, seed: int = 42,
+@dataclass(frozen=True)
+class Projections:
+    """Directions, shifts and bucket widths of ``bands`` x ``rows`` projections, and how many buckets a query visits."""
+
+    directions: np.ndarray
+    shifts: np.ndarray
+    widths: np.ndarray
+    bands: int
+    probes: int = 1
+
+    @property
+    def rows(self) -> int:
+        return self.directions.shape[1] // self.bands
+
+    def places(self, matrix: np.ndarray) -> np.ndarray:
+        """Where rows lie, in widths: rows x bands x projections of a band."""
+        return ((matrix @ self.directions + self.shifts) / self.widths).reshape(len(matrix), self.bands, -1)
+
+    def steps(self) -> np.ndarray:
+        """The sets of neighbouring buckets: -1, 0 or 1 per projection, few changes first, PROBES at most."""
+        out = [np.zeros(self.rows, np.int64)]
+        for changes in range(1, self.rows + 1):
+            more = []
+            for at in itertools.combinations(range(self.rows), changes):
+                for signs in itertools.product((-1, 1), repeat=changes):
+                    step = np.zeros(self.rows, np.int64)
+                    step[list(at)] = signs
+                    more.append(step)
+                if len(out) + len(more) > PROBES:
+                    return np.array(out)
+            out += more
+        return np.array(out)
+
+    def away(self, places: np.ndarray) -> np.ndarray:
+        """Squared distance of each row to each of ``steps`` around its own bucket: rows x bands x steps."""
+        inside = places - np.floor(places)
+        below, above = inside**2, (1 - inside) ** 2
+        steps = self.steps()
+        return below @ (steps == -1).T.astype(float) + above @ (steps == 1).T.astype(float)
+
+
+def measure_projections(index: DataFrame, dims: int, rows: int, bands: int, seed: int) -> Projections:
+    """Random directions whose bucket width is 1.5 times the measured spread of the projected rows, as
+    many of them in a band as leave about 128 rows in a bucket."""
+    per_band = int(np.clip(np.round(np.log(max(rows, 2) / 128) / np.log(2.6)), 1, 20))
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(size=(dims, bands * per_band))
+    shared = index.sparkSession.sparkContext.broadcast(directions)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(0), dims) @ shared.value
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(x.shape[1])), pa.array(np.full(x.shape[1], len(x))), pa.array(x.sum(0)), pa.array((x**2).sum(0))],
+                names=["at", "n", "s", "ss"])
+
+    parts = index.select("v").mapInArrow(moments, "at long, n long, s double, ss double")
+    spread = np.ones(directions.shape[1])
+    for r in parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect():
+        variance = r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2 if r["n"] else 0.0
+        spread[r["at"]] = np.sqrt(variance) if variance > 1e-12 else 1.0
+    return Projections(directions, rng.uniform(0, 1, directions.shape[1]) * 1.5 * spread, 1.5 * spread, bands)
+
+
+def _buckets(rows: DataFrame, projections: Projections, probing: bool) -> DataFrame:
+    """``(id, v, cell)`` for the bucket of each band, and with ``probing`` for the nearest ones beside it."""
+    shared = rows.sparkSession.sparkContext.broadcast(projections)
+    dims = projections.directions.shape[0]
+    schema = StructType([*rows.schema.fields, StructField("keys", ArrayType(ArrayType(LongType())))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        steps = own.steps()
+        n = min(own.probes, len(steps)) if probing else 1
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                places = own.places(_matrix(batch.column(1), dims))
+                nearest = np.argsort(own.away(places), axis=2, kind="stable")[:, :, :n] if n > 1 else np.zeros((*places.shape[:2], 1), np.int64)
+                keys = np.floor(places).astype(np.int64)[:, :, None, :] + steps[nearest]
+                band = np.broadcast_to(np.arange(own.bands)[None, :, None, None], (*keys.shape[:3], 1))
+                flat = np.concatenate([band, keys], axis=3)
+                width, each = flat.shape[3], flat.shape[1] * flat.shape[2]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) * each + 1, dtype=np.int32) * width), pa.array(flat.ravel()))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * each), inner)
+                yield pa.RecordBatch.from_arrays([*batch.columns, outer], names=[f.name for f in schema.fields])
+
+    name = rows.columns[0]
+    return rows.mapInArrow(place, schema).select(name, "v", F.explode("keys").alias("key")).select(name, "v", F.xxhash64("key").alias("cell"))
+
+
+def calibrate_buckets(
+    queries: DataFrame, index: DataFrame, k: int, projections: Projections, rows: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 42,
+    exclude_self: bool = False,
+) -> int:
+    """How many buckets a band a query has to visit to meet ``recall`` of the true neighbours of a sample."""
+    dims = projections.directions.shape[0]
+    drawn = _sample(_vectors(queries, "query_id", dims), sample, seed)
+    true = knn_join_exact(drawn.select(F.col("query_id").alias("id"), "v"), index, k, exclude_self=exclude_self, profile=(dims, rows))
+    met = true.join(drawn.select("query_id", F.col("v").alias("x")), "query_id").join(_vectors(index, "index_id", dims), "index_id").select("x", "v").toArrow()
+    if not met.num_rows:
+        return 1
+    asked, found = (projections.places(_matrix(met[c], dims)) for c in ("x", "v"))
+    away = projections.away(asked)
+    wanted = np.floor(found).astype(np.int64) - np.floor(asked).astype(np.int64)
+    known = {tuple(step): i for i, step in enumerate(projections.steps().tolist())}
+    place = np.argsort(np.argsort(away, axis=2, kind="stable"), axis=2)
+    ranks = np.full(wanted.shape[:2], len(known), np.int64)
+    for i, band in np.ndindex(ranks.shape):
+        at = known.get(tuple(wanted[i, band]))
+        if at is not None:
+            ranks[i, band] = place[i, band, at]
+    return min(_reach(ranks.min(1), recall), len(known))
+
+
+def bucket_sides(
+    queries: DataFrame, index: DataFrame, k: int, bands: int = 4, recall: float = RECALL, probes: int | None = None, seed: int = 42,
+    exclude_self: bool = False, profile: tuple[int, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the buckets they meet in."""
+    dims, rows = profile or vector_profile(index)
+    searched = _vectors(index, "index_id", dims)
+    projections = measure_projections(searched, dims, rows, bands, seed)
+    probes = probes or calibrate_buckets(queries, index, k, projections, rows, recall, seed=seed, exclude_self=exclude_self)
+    projections = Projections(projections.directions, projections.shifts, projections.widths, bands, probes)
+    return _buckets(_vectors(queries, "query_id", dims), projections, True), _buckets(searched, projections, False)
+
+
+def knn_join_buckets(
+    queries: DataFrame, index: DataFrame, k: int, *, bands: int = 4, recall: float = RECALL, probes: int | None = None,
+    exclude_self: bool = False, block_rows: int = BLOCK_ROWS, seed: int = 42, profile: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Approximate join over buckets of random projections.
 
-    A band joins ``rows_per_band`` projections to one bucket key; a query meets the
-    rows that share its bucket in at least one of ``bands`` bands. Queries that
-    meet fewer than k rows are answered over k-means cells instead.
+    A band joins several projections to one bucket; a query meets the rows of its own bucket and of the
+    nearest ones beside it, in each of ``bands`` bands. Queries that meet fewer than k rows are
+    answered over the cells of a tree instead.
     """
-    dims, rows = vector_profile(index)
-    model = _projections(index, dims, bands * rows_per_band, bucket_length, seed)
-    asking = _buckets(_vectors(queries, "query_id", dims), model, bands, rows_per_band)
-    searched = _buckets(_vectors(index, "index_id", dims), model, bands, rows_per_band)
-    met = materialize(
-        _ranked(_block_join(asking, searched, k, dims, False, block_rows), k, repeats=True), "lsh")
-    goal = min(k, rows)
-    served = met.groupBy("query_id").count().filter(F.col("count") >= goal).select(F.col("query_id").alias("id"))
-    short = queries.join(served, "id", "left_anti")
-    again = knn_join_ivf(short, index, k, seed=seed)
-    full = met.join(served.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
-    return full.unionByName(again)
-
-
-def _projections(index: DataFrame, dims: int, tables: int, bucket_length: float, seed: int):
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    sample = index.filter(F.size("v") == dims).select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    return lsh.fit(sample.limit(1))  # the projections depend on width and seed only
-
-
-def _buckets(rows: DataFrame, model, bands: int, rows_per_band: int) -> DataFrame:
-    """One row per band, ``cell`` being the hash of the band and its bucket numbers."""
-    hashed = model.transform(rows.withColumn("features", array_to_vector(l2_normalize(F.col("v")))))
-    numbers = [vector_to_array(F.element_at("hashes", i + 1))[0] for i in range(bands * rows_per_band)]
-    cells = [
-        F.xxhash64(F.lit(band), *numbers[band * rows_per_band:(band + 1) * rows_per_band]) for band in range(bands)
-    ]
-    return hashed.select(rows.columns[0], "v", F.explode(F.array(*cells)).alias("cell"))
+    profile = profile or vector_profile(index)
+    dims, rows = profile
+    asking, searched = bucket_sides(queries, index, k, bands, recall, probes, seed, exclude_self, profile)
+    met = materialize(_ranked(_block_join(asking, searched, k, dims, exclude_self, block_rows), k, repeats=True), "buckets")
+    goal = min(k, rows - 1 if exclude_self else rows)
+    served = materialize(met.groupBy("query_id").count().filter(F.col("count") >= goal).select("query_id"), "served")
+    short = queries.join(served.select(F.col("query_id").alias("id")), "id", "left_anti")
+    full = met.join(served, "query_id", "left_semi")
+    if _vectors(short, "query_id", dims).isEmpty():
+        return full
+    return full.unionByName(knn_join_cells(short, index, k, recall=recall, exclude_self=exclude_self, seed=seed, profile=profile))

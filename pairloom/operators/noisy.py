@@ -39,9 +39,9 @@ def mine_noisy_pairs(records: DataFrame, edges: DataFrame, source_a: str, source
     return negatives.unionByName(balanced)
 
 
-def neighbour_edges(records: DataFrame, k: int = 5, exact: bool = True) -> DataFrame:
+def neighbour_edges(records: DataFrame, k: int = 5, search: str = "exact") -> DataFrame:
     """``(src, dst, sim)`` to the k - 1 nearest other records."""
-    near = knn_self_join(records, k - 1, exact=exact)
+    near = knn_self_join(records, k - 1, search=search)
     return near.select(F.col("query_id").alias("src"), F.col("index_id").alias("dst"), "sim")
 
 
@@ -53,8 +53,8 @@ def similarity_clusters(records: DataFrame, edges: DataFrame, cutoff: float) ->
         "id", F.coalesce("component", "id").alias("cluster"))
 
 
-def bootstrap_noisy_labels(records: DataFrame, source_a: str, source_b: str, cutoff: float = 0.8, k: int = 5, exact: bool = True) -> DataFrame:
+def bootstrap_noisy_labels(records: DataFrame, source_a: str, source_b: str, cutoff: float = 0.8, k: int = 5, search: str = "exact") -> DataFrame:
     """Neighbour graph, clusters and noisy pairs for stacked records ``(id, source, v)``."""
-    edges = neighbour_edges(records, k, exact)
+    edges = materialize(neighbour_edges(records, k, search), "edges")
     clustered = records.select("id", "source").join(similarity_clusters(records, edges, cutoff), "id")
     return mine_noisy_pairs(clustered, edges, source_a, source_b)

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from conftest import rows
-from pairloom.operators import cluster, noisy
+from pairloom.operators import cluster, kmeans, noisy
 
 
 def union_find(edges):
@@ -59,6 +60,30 @@ def test_kmeans_chunks_cover_all_rows(spark):
     assert chunked.count() == 90
 
 
+def test_mini_batches_use_all_rows_and_averages_are_exact(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 6)) * 4
+    data = centres[rng.integers(0, 5, 4000)] + rng.normal(size=(4000, 6)) * 0.2
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(data)], "id long, v array<double>").repartition(6)
+    fitted = kmeans.fit_centres(table, 5, 6, starts=3)
+    at, away = kmeans.nearest(data, fitted)
+    assert away.sum() < 1.1 * kmeans.nearest(data, centres)[1].sum() or len(set(at)) >= 3
+    step = {r.centre: r for r in kmeans.one_pass(table, fitted[None], batch=None).collect()}
+    assert sum(r.n for r in step.values()) == 4000
+    for c, r in step.items():
+        assert np.allclose(r.v, data[at == c].mean(0)) and np.isclose(r.cost, away[at == c].sum())
+    few = kmeans.fit_centres(table.filter("id < 3"), 5, 6)
+    assert len(few) == 3
+
+
+def test_chunks_are_the_nearest_fitted_centres(spark):
+    data = [(i, [float(i), 1.0]) for i in range(20)] + [(99, [1.0])]
+    table = spark.createDataFrame(data, "id long, v array<double>")
+    centres = np.array([[0.0, 1.0], [10.0, 1.0]])
+    got = {r.id: r.chunk for r in cluster.kmeans_chunks(table, 2, centres=centres).collect()}
+    assert got == {i: int(i > 5) for i in range(20)}
+
+
 def test_noisy_pairs(spark):
     records = spark.createDataFrame(
         [(1, "a", 1), (2, "b", 1), (3, "b", 1), (4, "a", 2), (5, "b", 2), (6, "b", 3)], "id long, source string, cluster long")

@@ -39,7 +39,7 @@ def data():
     return queries, index
 
 
-PATHS = [{}, {"broadcast_bytes": 0, "block_rows": 16}, {"broadcast_bytes": 0, "block_rows": 64, "cells": 5}]
+PATHS = [{}, {"block_rows": 16}, {"block_rows": 64}]
 
 
 @pytest.mark.parametrize("options", PATHS)
@@ -70,37 +70,100 @@ def test_unusable_vectors_are_left_out(spark):
 
 def test_string_ids(spark, data):
     queries, index = data
-    got = knn.knn_join_exact(frame(spark, queries[:5], text=True), frame(spark, index[100:], text=True), 3, broadcast_bytes=0)
+    got = knn.knn_join_exact(frame(spark, queries[:5], text=True), frame(spark, index[100:], text=True), 3)
     assert got.count() == 15 and dict(got.dtypes)["index_id"] == "string"
 
 
-def test_ivf_with_all_cells_is_exact_and_k_is_always_reached(spark, data):
+def all_rows(n):
+    """Rows in a few directions, with copies."""
+    rng = np.random.default_rng(3)
+    return rng.normal(size=(12, 8))[rng.integers(0, 12, n)] + rng.normal(size=(n, 8)) * rng.choice([0, 0.3], (n, 1))
+
+
+@pytest.mark.parametrize("options", [{}, {"coarse_rows": 40}, {"coarse_rows": 40, "slice_rows": 25}])
+def test_a_tree_with_all_leaves_visited_is_exact(spark, data, options):
     queries, index = data
-    all_cells = knn.knn_join_ivf(frame(spark, queries), frame(spark, index), 5, cells=6, nprobe=6, block_rows=32)
-    assert found(all_cells) == brute(queries, index, 5)
-    narrow = knn.knn_join_ivf(frame(spark, queries), frame(spark, index), 40, cells=30, nprobe=1)
-    assert {r["count"] for r in narrow.groupBy("query_id").count().collect()} == {40}
+    built = knn.build_cells(frame(spark, index), **options)
+    assert built.n_rows == 300 and built.rows.count() == 300
+    assert built.leaves.agg(F.sum("n")).first()[0] == 300
+    got = knn.knn_join_cells(frame(spark, queries), built, 5, probes=(99, 999), block_rows=32)
+    assert found(got) == brute(queries, index, 5)
 
 
-def test_index_is_reusable(spark, data):
+def test_k_is_always_reached(spark, data):
     queries, index = data
-    cells = knn.build_cells(frame(spark, index), cells=6)
-    assert cells.sizes.sum() == 300
-    assert knn.knn_join(frame(spark, queries), cells, 3).count() == 240
+    for join, options in ((knn.knn_join_cells, {"probes": (1, 1)}), (knn.knn_join_buckets, {"probes": 1, "bands": 1})):
+        got = join(frame(spark, queries), frame(spark, index), 40, **options).groupBy("query_id").count().collect()
+        assert len(got) == 80 and {r["count"] for r in got} == {40}
+
+
+@pytest.mark.parametrize("search", ["cells", "buckets"])
+def test_self_joins_of_both_approximate_kinds(spark, data, search):
+    _, index = data
+    got = found(knn.knn_self_join(frame(spark, index), 4, search=search, recall=1.0))
+    assert all(q != i for q, i, _ in got) and len(got) == 1200
+    assert len(got & brute(index, index, 4, exclude=True)) >= 0.85 * 1200
 
 
-def test_lsh_fills_up_short_queries(spark, data):
+def test_index_is_reusable(spark, data):
     queries, index = data
-    got = knn.knn_join_lsh(frame(spark, queries), frame(spark, index), 5, bands=2, rows_per_band=3, bucket_length=0.3, block_rows=32)
-    assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {5}
-    assert got.select("query_id", "index_id").distinct().count() == 400
+    built = knn.build_cells(frame(spark, index))
+    assert knn.knn_join(frame(spark, queries), built, 3, search="cells").count() == 240
+    with pytest.raises(ValueError):
+        knn.knn_join(frame(spark, queries), frame(spark, index), 3, search="magic")
+
+
+def test_visits_reach_the_wanted_recall_and_no_more_than_needed(spark):
+    index, queries = all_rows(3000), all_rows(300)
+    built = knn.build_cells(frame(spark, index), coarse_rows=500)
+    wide = knn.calibrate_cells(frame(spark, queries), built, 5, recall=0.99)
+    narrow = knn.calibrate_cells(frame(spark, queries), built, 5, recall=0.6)
+    assert narrow[0] <= wide[0] and narrow[1] < wide[1]
+    true = {(q, i) for q, i, _ in brute(queries, index, 5)}
+    for join in (lambda: knn.knn_join_cells(frame(spark, queries), built, 5), lambda: knn.knn_join_buckets(frame(spark, queries), frame(spark, index), 5)):
+        got = join().collect()
+        sims = {}
+        for r in got:
+            sims.setdefault(r.query_id, []).append(r.sim)
+        assert len(got) == 1500 and len({(r.query_id, r.index_id) for r in got} & true) >= 0.9 * 1500
+
+
+def test_one_path_at_every_size(spark):
+    """Ten rows and two hundred thousand go the same way, and the tree takes in all of them."""
+    plans = []
+    for n in (10, 200_000):
+        index = spark.range(n).select("id", F.array(*[F.sin(F.col("id") * (i + 1) * 0.37) for i in range(4)]).alias("v"))
+        built = knn.build_cells(index)
+        assert built.rows.count() == n and built.leaves.agg(F.sum("n")).first()[0] == n
+        asked = spark.range(5).select("id", F.array(*[F.sin(F.col("id") * (i + 1) * 0.37) for i in range(4)]).alias("v"))
+        got = knn.knn_join_cells(asked, built, 1, probes=(2, 4))
+        assert {(r.query_id, r.index_id) for r in got.collect()} == {(i, i) for i in range(5)}
+        plans.append([w for w in got._jdf.queryExecution().sparkPlan().toString().split() if "FlatMap" in w or "Window" in w])
+    assert plans[0] == plans[1]
+
+
+def test_buckets_around_a_row_come_in_order_of_distance():
+    rng = np.random.default_rng(0)
+    projections = knn.Projections(rng.normal(size=(6, 6)), rng.uniform(size=6), np.ones(6), 2)
+    steps = projections.steps()
+    assert len(steps) == 27 and len({tuple(s) for s in steps}) == 27 and not steps[0].any()
+    places = projections.places(rng.normal(size=(4, 6)))
+    away = projections.away(places)
+    for row, band, at in np.ndindex(away.shape):
+        low = np.floor(places[row, band]) + steps[at]
+        gap = np.maximum(np.maximum(low - places[row, band], places[row, band] - low - 1), 0)
+        assert np.isclose(away[row, band, at], (gap**2).sum())
+    many = knn.Projections(rng.normal(size=(6, 17)), np.zeros(17), np.ones(17), 1).steps()
+    assert len(many) <= knn.PROBES and (np.abs(many).sum(1) <= 2).all()
 
 
 def test_recall_on_real_vectors(spark, small):
     from pairloom.catalog.neighbours import knn_recall
 
-    recall = {r.method: r.recall for r in knn_recall(spark, small).collect()}
-    assert recall["ivf"] >= 0.9 and recall["lsh"] >= 0.9
+    for folder in (small, "/root/testdata/sf0.1"):
+        got = {r.method: r for r in knn_recall(spark, folder).collect()}
+        assert got["ivf"].recall >= 0.9 and got["lsh"].recall >= 0.9
+        assert got["ivf"].compared < 1
 
 
 def test_similarities_are_cosines(spark, data):
@@ -115,7 +178,7 @@ def test_similarities_are_cosines(spark, data):
 
 def test_large_path_has_no_cross_join(spark, data):
     queries, index = data
-    got = knn.knn_join_exact(frame(spark, queries), frame(spark, index), 5, broadcast_bytes=0)
+    got = knn.knn_join_exact(frame(spark, queries), frame(spark, index), 5)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan

@@ -53,8 +53,8 @@ def test_hot_text_is_split(spark, shuffled_joins):
 
 def test_hot_cell_becomes_many_blocks(spark):
     index = spark.range(3000).select("id", F.array(F.lit(1.0), (F.col("id") % 7).cast("double") * 1e-9).alias("v"))
-    cells = knn.build_cells(index, "pivots", cells=3)
-    assert cells.sizes.max() > 900
+    cells = knn.build_cells(index)
+    assert cells.leaves.agg(F.max("n")).first()[0] > 900
     original = knn._top
 
     def watch(queries, block, k, skip):
@@ -63,7 +63,7 @@ def test_hot_cell_becomes_many_blocks(spark):
 
     knn._top = watch
     try:
-        got = knn.knn_join_exact(index, index, 2, broadcast_bytes=0, block_rows=200, cells=3).collect()
+        got = knn.knn_join_cells(index, cells, 2, probes=(9, 999), block_rows=200).collect()
     finally:
         knn._top = original
     assert len(got) == 6000
