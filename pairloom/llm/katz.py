@@ -53,7 +53,7 @@ OUT = "kind int, key bigint, other bigint, n bigint, known bigint, held boolean,
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length, by byte planes, compressed."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
