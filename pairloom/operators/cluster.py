@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.kmeans import fit_centres, nearest
 from pairloom.operators.knn import assign_nearest, vector_profile
-from pairloom.session import materialize
+from pairloom.session import materialize, scratch
 
 
 def kmeans_chunks(records: DataFrame, chunks: int, seed: int = 42, dims: int | None = None, centres: np.ndarray | None = None) -> DataFrame:
@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds = 0
     while not _settled(stars):
         rounds += 1
-        stars = _large_star(_small_star(stars))
+        with scratch(edges.sparkSession) as keep:
+            stars = keep(_large_star(_small_star(stars)))
     connected_components.rounds = rounds
     members = stars.select(F.col("high").alias("id"), F.col("low").alias("component"))
     named = stars.select(F.col("low").alias("id"), F.col("low").alias("component"))

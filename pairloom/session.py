@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,7 +73,38 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(_order_last(df, partition_by)).parquet(path)
+    if _open_blocks:
+        _open_blocks[-1].add(path)
+    stored = spark.read.schema(_order_last(df, partition_by)).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+_open_blocks: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops the tables stored inside the block at its end, but for those given to ``keep``.
+
+    Only what is kept may be read after the block. A kept table belongs to the block around, if any.
+    """
+    made, kept = set(), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    _open_blocks.append(made)
+    try:
+        yield keep
+    finally:
+        _open_blocks.remove(made)
+        if _open_blocks:
+            _open_blocks[-1].update(kept)
+        for path in made - kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _order_last(df: DataFrame, partition_by: str | None):
