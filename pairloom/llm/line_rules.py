@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import WHITE, words_of
 from pairloom.llm.minhash import near_copies
-from pairloom.session import materialize
+from pairloom.session import materialize, scratch
 
 #: A line is boilerplate if more than LINE_FLOOR distinct texts of its host hold it, however many texts the host has.
 LINE_FLOOR = 20
@@ -130,7 +130,8 @@ def score_rules(
     frequent = materialize(frequent, "frequent_lines")
     removed = _removed(texts, frequent)
     if near and not frequent.isEmpty():
-        frequent = _by_group(docs.select(body.alias("body")), removed, frequent)
+        with scratch(docs.sparkSession) as keep:
+            frequent = keep(_by_group(docs.select(body.alias("body")), removed, frequent))
         removed = _removed(texts, frequent)
     rows = rows.drop("own").join(removed.drop("removed"), ["host_key", "text_key"], "left")
     gone = F.coalesce("n_removed_words", F.lit(0)).cast("long")

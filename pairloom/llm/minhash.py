@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import batches, mix, word_hashes, words_of
 from pairloom.operators.cluster import connected_components
-from pairloom.session import materialize
+from pairloom.session import materialize, scratch
 
 WORDS = 5
 #: Similar from 4/5 on; kept as a ratio so that the comparison is exact.
@@ -28,8 +28,9 @@ SIMILAR = (4, 5)
 BANDS = 32
 ROWS = 4
 BATCH_CHARS = 500_000
-#: Leaders per open bucket in the second round; each later round has so many times more.
-LEADERS = 16
+#: Leaders drawn from an open bucket at first, and how many times more in each later round.
+LEADERS = 4
+GROWTH = 8
 
 _STEPS = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -249,22 +250,66 @@ def _renamed(rows: DataFrame, column: str, parts: DataFrame) -> DataFrame:
     return rows.join(own, column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
 
-def near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, native: bool = False
-) -> DataFrame:
-    """(doc_id, uid, k1, k2, class_id, kept) for every row; ``class_id`` is the least id of the class.
-
-    Equal texts are one node. In each bucket of a band one leader is compared with all
-    members; buckets whose members are not one component yet get more leaders, taken from
-    the stragglers, until every pair of a bucket is connected, compared, or ruled out: two
-    texts cannot be similar if too few of their shingles occur in any other text of an open
-    bucket. So a large group costs about its size, and no pair that could link is dropped.
+def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: DataFrame, check, native: bool) -> list[DataFrame]:
+    """What parts become, round by round, until every pair of a bucket is connected, compared, or ruled out.
 
-    Null texts are empty; texts without words are alike and form one class; null ids
-    take part and are never the least; repeated rows are in one class, of which one row is
-    kept; an empty table gives no rows; other columns are ignored. ``native`` runs no Python
-    on the executors.
+    The largest part of a bucket is its main part, and the nodes outside it are its others. Each
+    round draws leaders from both: every other is compared with them, so a leader of the
+    main part has met all it is not connected with, and one of the others has met all others.
+    Members of a main part are never compared with each other, nor others with a main part
+    they have joined. Later rounds draw more leaders, so a bucket of any size comes to an end.
     """
+    merged: list[DataFrame] = []
+    state = materialize(_renamed(members.withColumn("part", F.col("node")), "part", parts), "state")
+    sizes = state.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    mains = materialize(mains.where("parts > 1").select("bucket", "main"), "mains")
+    open_ = materialize(state.join(mains, "bucket"), "open")
+    holders = open_.select("node").distinct()
+    # The intersection of two sets holds only shingles that each shares with some other set.
+    chances = shared_shingles(texts.join(materialize(holders, "holders"), "node"), native)
+    chances = materialize(chances.where(F.col("common") * SIMILAR[1] >= F.col("size") * SIMILAR[0]), "chances")
+    waiting = open_.join(chances, "node").withColumn("led", F.lit(False))
+    leaders = LEADERS
+    whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
+    possible = F.least("common", "its_common") * whole >= (F.col("size") + F.col("its_size")) * part
+    while True:
+        waiting = materialize(waiting, "waiting")
+        is_main = F.col("part") == F.col("main")
+        unled = waiting.groupBy("bucket").agg(
+            F.count_if(is_main).alias("mains"), F.count_if(~is_main).alias("others"), F.count_if(~is_main & ~F.col("led")).alias("free"))
+        undone = materialize(unled.where("others > 0 and (mains > 0 or others > 1 and free > 0)").select("bucket", (F.col("mains") > 0).alias("both")), "undone")
+        if undone.isEmpty():
+            return merged
+        # Others that have led need to meet the main part only.
+        state = materialize(waiting.join(undone, "bucket").where("both or not led"), "state")
+        drawn = state.where("not led").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("salt"), is_main.alias("of_main"))
+        chosen = drawn.agg(F.max(F.struct("part", "node", "size", "common")).alias("top")).select(
+            "bucket", "of_main", F.col("top.node").alias("leader"), F.col("top.part").alias("its"),
+            F.col("top.size").alias("its_size"), F.col("top.common").alias("its_common"))
+        chosen = materialize(chosen, "leaders")
+        others = materialize(state.where(~is_main).select("bucket", "node", "part", "size", "common"), "others")
+        own, other = F.struct(F.col("leader").alias("node"), F.col("its").alias("part")), F.struct("node", "part")
+        lower, upper = F.least(own, other), F.greatest(own, other)
+        pairs = (
+            others.join(chosen, (others["bucket"] == chosen["bucket"]) & (F.col("part") != F.col("its")) & possible)
+            .select(lower["node"].alias("a"), upper["node"].alias("b"), lower["part"].alias("x"), upper["part"].alias("y"))
+            .distinct()
+            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        )
+        pairs = materialize(pairs, "pairs")
+        tested = tested.unionByName(pairs)
+        merged.append(_merge(check(pairs, texts)))
+        led = chosen.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
+        rest = state.join(led, ["bucket", "node"], "left").where(~(is_main & F.coalesce("leads", F.lit(False))))
+        rest = rest.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads", "both")
+        waiting = _renamed(_renamed(rest, "part", merged[-1]), "main", merged[-1])
+        waiting = waiting.where(~F.col("led") | (F.col("part") != F.col("main")))  # one of the others that led and has joined has met all
+        leaders *= GROWTH
+
+
+def _grouped_rows(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, native: bool) -> DataFrame:
+    """Stored (doc_id, uid, k1, k2, part): the component of every row's text."""
     check = native_verified if native else verified
     seen = (native_sketch if native else sketch)(docs, doc_id, text, bands, rows)
     nodes = materialize(seen.groupBy("k1", "k2").agg(F.min("uid").alias("node")), "nodes")
@@ -289,49 +334,31 @@ def near_copies(
     first = members.where("node <> leader").select(lower.alias("a"), upper.alias("b"), lower.alias("x"), upper.alias("y"))
     tested = materialize(first.distinct(), "pairs")
     merged = [_merge(check(tested, texts))]
-    waiting = members.where("node <> leader").select("bucket", "node", F.col("node").alias("part"))
-    chances, leaders = None, LEADERS
-    while True:
-        state = materialize(_renamed(waiting, "part", merged[-1]), "state")
-        opened = state.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-        opened = materialize(opened, "open")
-        if opened.isEmpty():
-            break
-        state = state.join(opened, "bucket", "left_semi")
-        if chances is None:
-            chances = materialize(shared_shingles(texts.join(state.select("node").distinct(), "node"), native), "chances")
-        # The intersection of two sets holds only shingles that each shares with some other set.
-        state = state.join(chances, "node")
-        whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
-        state = state.where(F.col("common") * SIMILAR[1] >= F.col("size") * part)
-        chosen = state.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("salt")).agg(
-            F.max(F.struct("part", "node", "size", "common")).alias("top")
-        )
-        chosen = chosen.select(
-            "bucket", F.col("top.node").alias("leader"), F.col("top.part").alias("its"),
-            F.col("top.size").alias("its_size"), F.col("top.common").alias("its_common"),
-        )
-        chosen = materialize(chosen, "leaders")
-        own, other = F.struct(F.col("leader").alias("node"), F.col("its").alias("part")), F.struct("node", "part")
-        lower, upper = F.least(own, other), F.greatest(own, other)
-        possible = F.least("common", "its_common") * whole >= (F.col("size") + F.col("its_size")) * part
-        pairs = (
-            state.join(chosen, (state["bucket"] == chosen["bucket"]) & (F.col("part") != F.col("its")) & possible)
-            .select(lower["node"].alias("a"), upper["node"].alias("b"), lower["part"].alias("x"), upper["part"].alias("y"))
-            .distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        pairs = materialize(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        merged.append(_merge(check(pairs, texts)))
-        done = chosen.select("bucket", F.col("leader").alias("node"))
-        waiting = state.select("bucket", "node", "part").join(done, ["bucket", "node"], "left_anti")
-        leaders *= LEADERS
+    merged += _settle(members.select("bucket", "node"), merged[0], tested, texts, check, native)
 
     grouped = nodes.select("k1", "k2", F.col("node").alias("part"))
     for more in merged:
         grouped = _renamed(grouped, "part", more)
-    rows_ = materialize(seen.select("doc_id", "uid", "k1", "k2").join(materialize(grouped, "grouped"), ["k1", "k2"]), "members")
+    return materialize(seen.select("doc_id", "uid", "k1", "k2").join(materialize(grouped, "grouped"), ["k1", "k2"]), "members")
+
+
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, native: bool = False
+) -> DataFrame:
+    """(doc_id, uid, k1, k2, class_id, kept) for every row; ``class_id`` is the least id of the class.
+
+    Equal texts are one node. In each bucket of a band one leader is compared with all
+    members; buckets whose members are not one component yet get more leaders until every pair of a bucket is connected, compared, or ruled out: two
+    texts cannot be similar if too few of their shingles occur in any other text of an open
+    bucket. So a large group costs about its size, and no pair that could link is dropped.
+
+    Null texts are empty; texts without words are alike and form one class; null ids
+    take part and are never the least; repeated rows are in one class, of which one row is
+    kept; an empty table gives no rows; other columns are ignored. ``native`` runs no Python
+    on the executors.
+    """
+    with scratch(docs.sparkSession) as keep:
+        rows_ = keep(_grouped_rows(docs, doc_id, text, bands, rows, native))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = materialize(rows_.groupBy("part").agg(first), "classes")
     return rows_.join(classes, "part").select(
