@@ -30,7 +30,7 @@ ROWS = 4
 BATCH_CHARS = 500_000
 #: Leaders drawn from an open bucket at first, and how many times more in each later round.
 LEADERS = 4
-GROWTH = 8
+GROWTH = 4
 
 _STEPS = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -264,7 +264,7 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
     sizes = state.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mains = materialize(mains.where("parts > 1").select("bucket", "main"), "mains")
-    open_ = materialize(state.join(mains, "bucket"), "open")
+    open_ = materialize(state.join(mains, "bucket", "left_semi"), "open")
     holders = open_.select("node").distinct()
     # The intersection of two sets holds only shingles that each shares with some other set.
     chances = shared_shingles(texts.join(materialize(holders, "holders"), "node"), native)
@@ -274,6 +274,7 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
     whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
     possible = F.least("common", "its_common") * whole >= (F.col("size") + F.col("its_size")) * part
     while True:
+        waiting = waiting.join(mains, "bucket").where(~F.col("led") | (F.col("part") != F.col("main")))  # one of the others that led and has joined has met all
         waiting = materialize(waiting, "waiting")
         is_main = F.col("part") == F.col("main")
         unled = waiting.groupBy("bucket").agg(
@@ -303,8 +304,8 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
         led = chosen.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
         rest = state.join(led, ["bucket", "node"], "left").where(~(is_main & F.coalesce("leads", F.lit(False))))
         rest = rest.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads", "both")
-        waiting = _renamed(_renamed(rest, "part", merged[-1]), "main", merged[-1])
-        waiting = waiting.where(~F.col("led") | (F.col("part") != F.col("main")))  # one of the others that led and has joined has met all
+        waiting = _renamed(rest.drop("main"), "part", merged[-1])
+        mains = materialize(_renamed(mains, "main", merged[-1]), "mains")
         leaders *= GROWTH
 
 

@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from pairloom.llm.bpe import BATCH_CHARS, Encoder
+from pairloom.llm.bpe import BATCH_CHARS
 from pairloom.llm.common import batches, partitions_for
+from pairloom.llm.words import load_encoder
 from pairloom.session import materialize
 
 WINDOW = 1024
@@ -41,35 +40,6 @@ ROUTE_TERMS = 2
 PACKED = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(moved)) for b in range(256)]
-
-
-class Vocabulary:
-    """Encodes pieces with the model of a tokenizer file, by the installed library."""
-
-    def __init__(self, path: str) -> None:
-        self.model = Tokenizer.from_file(path).model
-        self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
-
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        counts = np.zeros(len(pieces), np.int64)
-        for i, piece in enumerate(pieces):
-            found = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
-            counts[i] = len(found)
-            ids += [t.id for t in found]
-        return np.array(ids, np.int32), counts
-
-
-@lru_cache(maxsize=2)
-def load_vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -78,7 +48,7 @@ def cut_documents(docs: DataFrame, path: str, pattern: str, doc_id: str, text: s
     """Stored pieces: whole windows with their sequence, and tails (``ids`` not null) without one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(load_vocabulary(path), pattern)
+        encoder = load_encoder(path, pattern)
         sequence = TaskContext.get().partitionId() << 33
         for frame in frames:
             texts = frame.body.fillna("")

@@ -56,6 +56,11 @@ class Rolling:
         with np.errstate(over="ignore"):
             return mix((self.sums[width:] - self.sums[:-width]) * self.back[: len(self.sums) - width])
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each substring, its length mixed in."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` consecutive values."""

@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -7,13 +8,13 @@ from tokenizers import Tokenizer
 
 import shared
 from pairloom.llm import packing
+from pairloom.llm.words import WordEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def check(docs, rows, window=packing.WINDOW, **settings):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     ids = [np.array(e.ids + [0], "<u4") for e in model.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     got = packing.pack_documents(docs, PATH, public_tokenizers.PATTERN, window=window).collect()
     sequences, places = collections.defaultdict(list), collections.Counter()
@@ -44,6 +45,35 @@ def test_awkward_rows(spark):
     assert packing.pack_documents(shared.documents(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+SPACED = [
+    (30, "  two  spaces\n\n\tand tabs \r\n x", "en", "a", 0),
+    (31, "lines\nof words, don't\n\nthey're 12 345 end\n", "en", "a", 0),
+    (32, "a\u00a0b \u00a0c \u2003 d\u3000e\x1ff \x85g", "en", "a", 0),
+    (33, "before<|endoftext|>after <|endoftext|> and  more<|endoftext|>", "en", "a", 0),
+    (34, "<|endoftext|>", "en", "a", 0),
+    (35, " lead and trail ", "en", "a", 0),
+    (36, "x" * 1500 + " " + "é" * 700, "en", "a", 0),
+]
+
+
+def test_words_are_encoded_as_the_library_does(spark):
+    model = Tokenizer.from_file(PATH)
+    encoder = WordEncoder(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    texts = [r[1] or "" for r in shared.ROWS + SPACED]
+    texts += ["".join(rng.choice(["a", "Bc", " ", " ", "\n", "  ", "'s", "1", "!", "é", "\t", "<|endoftext|>"]) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    texts += [r.text or "" for r in shared.given(spark, "/root/testdata/sf0.01").collect()]
+    for batch in (texts, texts[::-1]):
+        ids, counts = encoder.encode(batch)
+        ends = np.cumsum(counts)
+        for text, wanted, a, b in zip(batch, model.encode_batch(batch, add_special_tokens=False), ends - counts, ends):
+            assert wanted.ids == ids[a:b].tolist(), text
+
+
+def test_special_tokens_and_uneven_spaces(spark):
+    check(shared.documents(spark, SPACED), [(r[0], r[1]) for r in SPACED])
+
+
 def test_given_documents_in_small_windows_and_shards(spark, small, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 64)
     docs = shared.given(spark, small)
