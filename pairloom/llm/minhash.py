@@ -175,8 +175,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a bigint, b bigint, x bigint, y bigint")
 
 
-def shared_shingles(texts: DataFrame, native: bool = False) -> DataFrame:
-    """(node, size, common): how many shingles a text (node, body) has, and how many of them another text has too."""
+def held_shingles(texts: DataFrame, native: bool = False) -> DataFrame:
+    """Stored (node, shingle) of all texts (node, body)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -189,9 +189,14 @@ def shared_shingles(texts: DataFrame, native: bool = False) -> DataFrame:
         held = texts.select("node", F.explode(shingle_column(F.col("body"))).alias("shingle"))
     else:
         held = texts.select("node", "body").mapInPandas(run, "node bigint, shingle bigint")
-    held = materialize(held, "shingles")
-    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", F.lit(1).alias("one"))
-    joined = held.join(materialize(common, "common"), "shingle", "left")
+    return materialize(held, "shingles")
+
+
+def shared_shingles(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, size, common): how many shingles a text has, and how many of them occur in more than one part, for nodes (node, part)."""
+    own = materialize(held.join(parts, "node"), "part_shingles")
+    common = own.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    joined = own.join(materialize(common.select("shingle", F.lit(1).alias("one")), "common"), "shingle", "left")
     return joined.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count("one").alias("common"))
 
 
@@ -265,11 +270,9 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
     mains = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mains = materialize(mains.where("parts > 1").select("bucket", "main"), "mains")
     open_ = materialize(state.join(mains, "bucket", "left_semi"), "open")
-    holders = open_.select("node").distinct()
-    # The intersection of two sets holds only shingles that each shares with some other set.
-    chances = shared_shingles(texts.join(materialize(holders, "holders"), "node"), native)
-    chances = materialize(chances.where(F.col("common") * SIMILAR[1] >= F.col("size") * SIMILAR[0]), "chances")
-    waiting = open_.join(chances, "node").withColumn("led", F.lit(False))
+    holders = materialize(open_.select("node").distinct(), "holders")
+    held = held_shingles(texts.join(holders, "node"), native)
+    waiting = open_.withColumn("led", F.lit(False))
     leaders = LEADERS
     whole, part = SIMILAR[0] + SIMILAR[1], SIMILAR[0]
     possible = F.least("common", "its_common") * whole >= (F.col("size") + F.col("its_size")) * part
@@ -284,6 +287,10 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
             return merged
         # Others that have led need to meet the main part only.
         state = materialize(waiting.join(undone, "bucket").where("both or not led"), "state")
+        # The shingles that two parts have in common occur in both, so a text with few such shingles links to no other part.
+        chances = shared_shingles(held, materialize(state.select("node", "part").distinct(), "part_nodes"))
+        chances = materialize(chances.where(F.col("common") * SIMILAR[1] >= F.col("size") * SIMILAR[0]), "chances")
+        state = materialize(state.join(chances, "node"), "state")
         drawn = state.where("not led").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("salt"), is_main.alias("of_main"))
         chosen = drawn.agg(F.max(F.struct("part", "node", "size", "common")).alias("top")).select(
             "bucket", "of_main", F.col("top.node").alias("leader"), F.col("top.part").alias("its"),
@@ -303,8 +310,8 @@ def _settle(members: DataFrame, parts: DataFrame, tested: DataFrame, texts: Data
         merged.append(_merge(check(pairs, texts)))
         led = chosen.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
         rest = state.join(led, ["bucket", "node"], "left").where(~(is_main & F.coalesce("leads", F.lit(False))))
-        rest = rest.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads", "both")
-        waiting = _renamed(rest.drop("main"), "part", merged[-1])
+        rest = rest.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False)))
+        waiting = _renamed(rest.select("bucket", "node", "part", "led"), "part", merged[-1])
         mains = materialize(_renamed(mains, "main", merged[-1]), "mains")
         leaders *= GROWTH
 
