@@ -11,6 +11,7 @@ from pairloom.functions.text import DROPPED_PATTERN, SPACE_PATTERN, clean
 from pairloom.operators.knn import knn_join_exact
 from pairloom.operators.labels import as_pairs
 from pairloom.operators.similarity import set_similarity_join
+from pairloom.operators.truth import TruthClasses
 from pairloom.session import materialize, spread
 
 K = 5
@@ -100,22 +101,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("source").alias("site"), "lang", F.col("text").alias("body"))
 
 
-def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies between even and odd documents as ``(a_id, b_id)``: all pairs whose
-    cleaned texts have word sets that overlap by at least 0.8 (Jaccard).
+def document_classes(spark: SparkSession, sf_dir: str) -> TruthClasses:
+    """Near copies between even and odd documents: texts whose word sets, cleaned, overlap by
+    at least 0.8 (Jaccard). A class is one cleaned text on one side."""
+    cleaned = documents(spark, sf_dir).select("id", clean(F.col("body")).alias("t")).filter("t <> ''")
+    return _near_classes(cleaned)
 
-    Similarity is found between distinct texts, named by their hash; then every record
-    takes the matches of its text.
-    """
-    cleaned = documents(spark, sf_dir).select("id", clean(F.col("body")).alias("t"))
+
+def _near_classes(cleaned: DataFrame) -> TruthClasses:
     words = F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.xxhash64(w))
-    keyed = cleaned.filter("t <> ''").select("id", F.xxhash64("t").alias("key"), words.alias("tokens"))
-    keyed = materialize(keyed, "keyed")
-    sides = [keyed.filter(F.col("id") % 2 == parity) for parity in (0, 1)]
-    texts = [side.groupBy("key").agg(F.first("tokens").alias("tokens")) for side in sides]
-    alike = materialize(set_similarity_join(*texts), "alike")
-    ids = [side.select(F.col("key").alias(f"{n}_key"), F.col("id").alias(f"{n}_id")) for side, n in zip(sides, "ab")]
-    return alike.join(ids[0], "a_key").join(ids[1], "b_key").select("a_id", "b_id")
+    side = F.when(F.col("id") % 2 == 0, "a").otherwise("b")
+    keyed = cleaned.select("id", side.alias("side"), F.md5("t").alias("class"), F.col("t"))
+    members = materialize(keyed.select("id", "side", "class"), "members")
+    texts = materialize(keyed.groupBy("side", "class").agg(F.first("t").alias("t")).select("side", F.col("class").alias("key"), words.alias("tokens")), "texts")
+    sides = [texts.filter(F.col("side") == name).select("key", "tokens") for name in "ab"]
+    alike = set_similarity_join(*sides).select(F.col("a_key").alias("a_class"), F.col("b_key").alias("b_class"))
+    return TruthClasses(members, materialize(alike, "alike"))
+
+
+def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of each side for every cleaned (site, lang, body): the one of the highest id."""
+    docs = documents(spark, sf_dir)
+    key = F.md5(F.concat_ws("|", F.col("id") % 2, *[clean(F.col(c)) for c in ("site", "lang", "body")]))
+    last = docs.groupBy(key.alias("key")).agg(F.max("id").alias("id"))
+    return materialize(docs.join(materialize(last.select("id"), "last"), "id", "left_semi"), "distinct")
+
+
+def document_truth(distinct: DataFrame) -> DataFrame:
+    """The near copies among distinct documents as ``(a_id, b_id)``. A class holds a text once per site and
+    language here, however many copies of it there are."""
+    classes = _near_classes(distinct.select("id", clean(F.col("body")).alias("t")).filter("t <> ''"))
+    a, b = (classes.side(side).withColumnRenamed("id", f"{side}_id") for side in "ab")
+    return classes.pairs.join(a, "a_class").join(b, "b_class").select("a_id", "b_id")
 
 
 def clean_sql(column: str) -> str:

@@ -61,9 +61,19 @@ CURVE_COLUMNS = "threshold, tp, fp, round(precision, 6) AS precision, round(reca
 
 @query("pr_curve", f"WITH {CURVE_SQL} SELECT {CURVE_COLUMNS} FROM curve")
 def pr_curve(spark, sf):
-    return _rounded(evaluate.pr_curve(stored_scores(spark, sf)))
+    return _rounded(evaluate.pr_curve(stored_scores(spark, sf))).drop("all_pos")
 
 
 @query("best_threshold", f"WITH {CURVE_SQL} SELECT {CURVE_COLUMNS} FROM (SELECT * FROM curve ORDER BY f1 DESC, threshold LIMIT 1)")
 def best_threshold(spark, sf):
-    return _rounded(evaluate.best_threshold(evaluate.pr_curve(stored_scores(spark, sf))))
+    return _rounded(evaluate.best_threshold(evaluate.pr_curve(stored_scores(spark, sf)))).drop("all_pos")
+
+
+@query("select_threshold", f"""WITH {CURVE_SQL}, half AS (SELECT tp, fp, (SELECT (sum(pos))::BIGINT FROM rolled) AS all_pos
+  FROM curve WHERE threshold > 0.5 ORDER BY threshold LIMIT 1),
+best AS (SELECT threshold, f1 FROM curve ORDER BY f1 DESC, threshold LIMIT 1)
+SELECT threshold, round(f1, 6) AS best_f1, coalesce((SELECT round(2 * tp / (tp + fp + all_pos), 6) FROM half), 0) AS f1_at_half FROM best""")
+def select_threshold(spark, sf):
+    """What a run does to choose its threshold."""
+    chosen = evaluate.threshold_choice(stored_scores(spark, sf))
+    return chosen.withColumns({c: F.round(c, 6) for c in ("best_f1", "f1_at_half")})

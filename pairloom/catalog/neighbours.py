@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairloom.catalog.base import (
-    K, KNN_SQL, TRUTH_SQL, document_truth, documents, neighbour_pairs, query, table, vector_sides, vectors,
+    K, KNN_SQL, TRUTH_SQL, document_classes, documents, neighbour_pairs, query, table, vector_sides, vectors,
 )
 from pairloom.functions.strings import jaro_winkler
 from pairloom.functions.vectors import cosine, l2_normalize
 from pairloom.operators import cluster, embed, features, kmeans, knn, labels, noisy, records
 from pairloom.operators.models import score_linear as linear_score
+from pairloom.operators.truth import class_edges
 from pairloom.session import materialize
 
 @query("l2_normalize", """SELECT vec_id AS id, unnest(range(len(v)))::INTEGER AS pos, round(unnest([x / n for x in v]), 6) AS value
@@ -273,5 +274,4 @@ reach AS (SELECT src AS id, src AS other FROM strong UNION SELECT r.id, s.dst FR
 SELECT id, min(other) AS component FROM reach GROUP BY id""")
 def document_components(spark, sf):
     """Near-copy groups: components of the document truth graph."""
-    pairs = document_truth(spark, sf)
-    return cluster.connected_components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    return cluster.connected_components(class_edges(document_classes(spark, sf)))

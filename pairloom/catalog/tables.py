@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.catalog.base import TRUTH_SQL, clean_sql, document_truth, documents, query, table, vectors
+from pairloom.catalog.base import TRUTH_SQL, clean_sql, document_classes, documents, query, table, vectors
 from pairloom.functions.text import SEPARATOR, clean, numeric_id
 from pairloom.operators import cluster, records, sampling, truth
 from pairloom.session import shared_folder
@@ -53,9 +53,9 @@ def coerce_ids(spark, sf):
 
 
 @query("dedupe_last_text", f"""SELECT max(doc_id) AS id, t AS text
-  FROM (SELECT doc_id, doc_id % 2 AS side, {clean_sql('text')} AS t FROM documents) WHERE side = 1 GROUP BY t""")
+  FROM (SELECT doc_id, {clean_sql('text')} AS t FROM documents) GROUP BY t""")
 def dedupe_last_text(spark, sf):
-    side = records.prepare_records(documents(spark, sf).filter("id % 2 = 1").select("id", "body"), ["body"], "b")
+    side = records.prepare_records(documents(spark, sf).select("id", "body"), ["body"], "b")
     return records.dedupe_last(side).select("id", "text")
 
 
@@ -80,27 +80,38 @@ def embedded_roundtrip(spark, sf):
 # --- truth -------------------------------------------------------------------------
 
 
-@query("truth_pairs", f"WITH {TRUTH_SQL} SELECT DISTINCT a_id, b_id FROM truth")
+# Classes of equal cleaned text, each named by its least id; matches between classes stand for all pairs of members.
+
+
+CLASSES_SQL = f"""{TRUTH_SQL},
+pairs AS (SELECT o.ta, o.tb, min(a.id) AS a_id, min(b.id) AS b_id, count(DISTINCT a.id) AS n_a, count(DISTINCT b.id) AS n_b, count(*) AS n_pairs,
+  count(*) FILTER (a.id IN (SELECT doc_id FROM labels) AND b.id IN (SELECT doc_id FROM labels)) AS n_known,
+  min(a.id) FILTER (a.id IN (SELECT doc_id FROM labels)) AS known_a, min(b.id) FILTER (b.id IN (SELECT doc_id FROM labels)) AS known_b
+  FROM overlap o JOIN texts a ON a.t = o.ta AND a.id % 2 = 0 JOIN texts b ON b.t = o.tb AND b.id % 2 = 1
+  WHERE 5 * c >= 4 * (nx + ny - c) GROUP BY o.ta, o.tb)"""
+
+
+@query("truth_pairs", f"WITH {CLASSES_SQL} SELECT a_id, b_id, n_pairs FROM pairs")
 def truth_pairs(spark, sf):
-    return truth.flatten_multimap(truth.truth_multimap(document_truth(spark, sf)))
+    return truth.class_pairs(document_classes(spark, sf))
 
 
-@query("truth_grouped", f"""WITH {TRUTH_SQL} SELECT a_id, 0::BIGINT AS part,
-  string_agg(b_id::VARCHAR, ',' ORDER BY b_id) AS b_ids FROM truth GROUP BY a_id""")
+@query("truth_grouped", f"""WITH {CLASSES_SQL} SELECT a_id, row_number() OVER (PARTITION BY a_id ORDER BY b_id) - 1 AS position, b_id
+  FROM (SELECT DISTINCT a_id, b_id FROM pairs)""")
 def truth_grouped(spark, sf):
-    grouped = truth.truth_multimap(document_truth(spark, sf))
-    return grouped.select("a_id", "part", F.array_join(F.transform("b_ids", lambda b: b.cast("string")), ",").alias("b_ids"))
+    """The matches of every class in order."""
+    return truth.truth_multimap(truth.class_pairs(document_classes(spark, sf)))
 
 
 @query("truth_last", f"WITH {TRUTH_SQL} SELECT a_id, max(b_id) AS b_id FROM truth GROUP BY a_id")
 def truth_last(spark, sf):
-    return truth.truth_pairs(document_truth(spark, sf), "last")
+    return truth.class_last(document_classes(spark, sf))
 
 
 @query("truth_counts", f"""WITH {TRUTH_SQL} SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT a_id, b_id
   FROM truth)) AS n_pairs, count(DISTINCT a_id) AS n_a, count(DISTINCT b_id) AS n_b FROM truth""")
 def truth_counts(spark, sf):
-    return truth.truth_counts(document_truth(spark, sf))
+    return truth.class_counts(document_classes(spark, sf))
 
 
 def _labelled_sides(spark, sf):
@@ -108,17 +119,28 @@ def _labelled_sides(spark, sf):
     return ids.filter("id % 2 = 0"), ids.filter("id % 2 = 1")
 
 
-KNOWN = "a_id IN (SELECT doc_id FROM labels) AND b_id IN (SELECT doc_id FROM labels)"
-
-
-@query("truth_semi", f"WITH {TRUTH_SQL} SELECT a_id, b_id FROM truth WHERE {KNOWN}")
+@query("truth_semi", f"WITH {CLASSES_SQL} SELECT known_a AS a_id, known_b AS b_id, n_known AS n_pairs FROM pairs WHERE n_known > 0")
 def truth_semi(spark, sf):
-    return truth.known_pairs(document_truth(spark, sf), *_labelled_sides(spark, sf)).select("a_id", "b_id")
+    """The truth among labelled documents, by class."""
+    return truth.class_pairs(truth.known_classes(document_classes(spark, sf), *_labelled_sides(spark, sf)))
 
 
-@query("truth_anti", f"WITH {TRUTH_SQL} SELECT a_id, b_id FROM truth WHERE NOT ({KNOWN})")
+@query("truth_anti", f"WITH {CLASSES_SQL} SELECT a_id, b_id, n_pairs - n_known AS n_pairs FROM pairs WHERE n_pairs > n_known")
 def truth_anti(spark, sf):
-    return truth.unknown_pairs(document_truth(spark, sf), *_labelled_sides(spark, sf)).select("a_id", "b_id")
+    """Pairs that name a document without label, counted by class."""
+    return truth.unknown_class_pairs(document_classes(spark, sf), *_labelled_sides(spark, sf))
+
+
+@query("label_by_class", f"""WITH {TRUTH_SQL}, asked AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id FROM documents x JOIN documents y
+  ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 2 = 0 UNION SELECT a_id, max(b_id) FROM truth GROUP BY a_id)
+SELECT a_id, b_id, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE t.a_id = asked.a_id AND t.b_id = asked.b_id) THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM asked""")
+def label_by_class(spark, sf):
+    """Neighbours by number, and every document's last match, labelled without expanding a class."""
+    classes = document_classes(spark, sf)
+    ids = documents(spark, sf).select("id")
+    left = ids.filter("id % 2 = 0").select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"))
+    beside = left.join(ids.select(F.col("id").alias("b_id")), "b_id", "left_semi")
+    return truth.label_by_class(beside.select("a_id", "b_id").union(truth.class_last(classes)).distinct(), classes)
 
 
 # --- samples and sizes ---------------------------------------------------------------

@@ -21,7 +21,7 @@ def brute(data, threshold, strict=False):
     return tp, fp, fn, precision, recall, 2 * precision * recall / (precision + recall + 1e-9)
 
 
-CURVES = [evaluate.pr_curve, lambda df: evaluate.pr_curve(df, bands=7), lambda df: evaluate.pr_curve(df, bands=1), evaluate.small_pr_curve]
+CURVES = [evaluate.pr_curve, lambda df: evaluate.pr_curve(df, band_scores=3), lambda df: evaluate.pr_curve(df, band_scores=1)]
 
 
 @pytest.mark.parametrize("curve", CURVES)
@@ -94,7 +94,7 @@ def test_missing_records_drop_pairs(spark):
 
 def test_bands_stay_even_for_crowded_scores(spark):
     crowded = spark.range(20_000).selectExpr("id AS a_id", "id AS b_id", "id / 20000.0 * 1e-5 AS p", "double(id % 3 = 0) AS label")
-    curve = evaluate.pr_curve(crowded, bands=16)
+    curve = evaluate.pr_curve(crowded, band_scores=20)
     assert curve.count() == 20_000
     last = curve.orderBy("threshold").first()
     assert (last.tp, last.fp) == (6667, 13333)
