@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Share of the high cluster's text that the content region must hold.
 COVER = 0.8
+#: A section beside the region belongs to it if it holds this share of the high cluster's text.
+LEAST = 0.03
 #: Lists of lines with at least this share of linked text are menus.
 LINKED = 0.9
 
@@ -85,11 +87,20 @@ def _named_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _named_comment(attrs: list[tuple[str, str | None]]) -> bool:
+    names = " ".join(v for n, v in attrs if n in ("class", "id") and v)
+    return any(w.lower() in COMMENT_WORDS for w in WORD.findall(names))
+
+
 class _Lines(HTMLParser):
     """Collects lines: (text, tags, linked characters, path of element numbers, in a list)."""
 
-    def __init__(self) -> None:
+    def __init__(self, exempt: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.exempt = exempt  # numbers of elements whose class and id say nothing
+        self.named: list[int] = []  # open elements that are left out for their class or id alone
+        self.lost: dict[int, int] = {}  # characters left out in each of them
+        self.with_article: set[int] = set()  # those that hold an article or its title
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether its text is left out
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.tags_of: list[str] = []
@@ -110,6 +121,8 @@ class _Lines(HTMLParser):
         if any(t in BLOCK for t, _, _ in self.stack[place:]):
             self.flush()
         self.links -= sum(t == "a" for t, _, _ in self.stack[place:])
+        gone = {n for _, n, _ in self.stack[place:]}
+        self.named = [n for n in self.named if n not in gone]
         del self.stack[place:]
 
     def find(self, tags: frozenset[str], until: frozenset[str]) -> int | None:
@@ -134,7 +147,16 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         above = bool(self.stack) and self.stack[-1][2]
-        out = above or tag in SKIPPED or tag == "header" or _named_aside(tag, attrs)
+        if len(self.tags_of) in self.exempt:
+            attrs = [a for a in attrs if a[0] not in ("class", "id")]
+        aside = _named_aside(tag, attrs)
+        out = above or tag in SKIPPED or tag == "header" or aside
+        if self.named and tag in ("article", "main", "h1"):
+            self.with_article.update(self.named)
+        if aside and not above and tag not in SKIPPED and tag != "header" and not _named_aside("body", attrs) and not _named_comment(attrs):
+            self.named.append(len(self.tags_of))
+            if tag in ("article", "main"):
+                self.with_article.add(len(self.tags_of))
         if tag in HEADINGS and above and self._article_header():
             out = False
         self.stack.append((tag, len(self.tags_of), out))
@@ -158,6 +180,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][2]:
+            for number in self.named:
+                self.lost[number] = self.lost.get(number, 0) + len(data.strip())
             return
         self.parts.append(data)
         if self.links:
@@ -191,17 +215,29 @@ def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return smooth > _two_means(smooth)
 
 
+def _parse(html: str) -> _Lines:
+    """The lines of a page. A name alone leaves no block out that holds an article or a title, and most of the text."""
+    exempt: frozenset[int] = frozenset()
+    while True:
+        parser = _Lines(exempt)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        kept = sum(len(line[0]) for line in parser.lines)
+        most = [n for n, size in parser.lost.items() if n in parser.with_article and size > kept + sum(parser.lost.values()) - size]
+        if not most:
+            return parser
+        exempt |= frozenset(most)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by an empty line; empty if there is none."""
     if not html:
         return ""
     last = html.rfind("<")
-    if last > html.rfind(">"):
+    if last > html.rfind(">") and re.match("<[A-Za-z/!?]", html[last : last + 2]):
         html = html[:last]  # a tag that the page's end cuts
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser = _parse(html)
     lines = parser.lines
     if not lines:
         return ""
@@ -222,6 +258,7 @@ def main_text(html: str | None) -> str:
     enough = [number for number, n in held.items() if n >= COVER * wanted]
     region = max(enough, default=None)
     if region is not None:
+        region = _with_siblings(region, [(line[3], n) for line, n, high in zip(lines, sizes, chosen) if high], parser.tags_of, wanted)
         path = next(line[3] for line in lines if region in line[3])
         outer = [n for n in path if parser.tags_of[n] in ("article", "main")]
         inside = [n for n in path if parser.tags_of[n] not in HEADINGS and parser.tags_of[n] in _WALLS and n <= region]
@@ -229,6 +266,20 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(line[0] for line in lines if region is None or region in line[3])
 
 
+def _with_siblings(region: int, high: list[tuple[tuple[int, ...], float]], tags: list[str], wanted: float) -> int:
+    """The region, widened to its parent while elements beside it, of its own kind, hold high lines worth keeping."""
+    while True:
+        path = next(p for p, _ in high if region in p)
+        place = path.index(region)
+        if place < 2 or tags[path[place - 1]] in ("body", "html"):
+            return region
+        parent = path[place - 1]
+        more = sum(n for p, n in high if len(p) > place and p[place - 1] == parent and p[place] != region and tags[p[place]] == tags[region])
+        if more < LEAST * wanted:
+            return region
+        region = parent
+
+
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 

@@ -21,6 +21,28 @@ def test_page_keeps_the_article_alone():
     ]
 
 
+@pytest.mark.parametrize("name", ["layout sidebar-right", "post tags-news search-x", "has-ads widget"])
+def test_a_name_alone_drops_no_article(name):
+    page = f"<body><nav><a href=1>One</a></nav><div class='{name}'><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article></div><div class=sidebar><p>Other</p></div></body>"
+    assert main_text(page) == f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_long_comments_stay_out():
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p></article><div class=comments><article><p>{LONG * 4}</p></article></div></body>"
+    assert main_text(page) == f"Title\n\n{LONG.strip()}"
+
+
+def test_a_short_second_section_is_kept():
+    first, second = f"<section><h2>One</h2><p>{LONG * 3}</p><p>{LONG * 3}</p></section>", f"<section><p>{LONG}</p></section>"
+    page = f"<body><div class=top><a href=1>x</a></div><div id=content>{first}{second}</div><div class=low><a href=1>y</a></div></body>"
+    assert main_text(page).endswith(LONG.strip()) and main_text(page).count("A sentence") == 42
+
+
+def test_less_than_at_the_end_is_text():
+    page = f"<article><h1>Title</h1><p>{LONG}</p><p>if a < b then the rest of the text follows"
+    assert main_text(page).endswith("if a < b then the rest of the text follows")
+
+
 def test_page_without_article_element():
     page = f"<body><div class=top><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div><h2>Title</h2><p>{LONG}</p><p>End.</p><p>{LONG}</p></div></body>"
     assert main_text(page) == f"Title\n\n{LONG.strip()}\n\nEnd.\n\n{LONG.strip()}"
