@@ -22,6 +22,7 @@ from pairloom.llm.packing import pack_documents
 from pairloom.llm.pii import KINDS, find_personal_data, span_list
 from pairloom.llm.quality import classify_documents
 from pairloom.llm.repeats import remove_repeats
+from pairloom.llm.rules_sql import RULES_SQL
 from pairloom.llm.sharding import shard_documents
 
 
@@ -71,7 +72,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = score_rules(table(spark, sf_dir, "documents"))
     return verdicts.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
     )
 
 
@@ -113,4 +114,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_alignment": op13_alignment,
 }
 
-SQL: dict[str, str] = {"op11_merkle": MANIFEST_SQL}
+SQL: dict[str, str] = {"op9_line_rules": RULES_SQL, "op11_merkle": MANIFEST_SQL}
