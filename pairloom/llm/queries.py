@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.alignment import align_documents
 from pairloom.llm.bpe import encode_documents
 from pairloom.llm.common import table
+from pairloom.llm.copies_sql import COPIES_SQL
 from pairloom.llm.embedding_dedup import near_equal_vectors
 from pairloom.llm.html_extract import extract_pages
 from pairloom.llm.line_rules import score_rules
@@ -22,6 +23,7 @@ from pairloom.llm.packing import pack_documents
 from pairloom.llm.pii import KINDS, find_personal_data, span_list
 from pairloom.llm.quality import classify_documents
 from pairloom.llm.repeats import remove_repeats
+from pairloom.llm.repeats_sql import REPEATS_SQL
 from pairloom.llm.rules_sql import RULES_SQL
 from pairloom.llm.sharding import shard_documents
 
@@ -114,4 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_alignment": op13_alignment,
 }
 
-SQL: dict[str, str] = {"op9_line_rules": RULES_SQL, "op11_merkle": MANIFEST_SQL}
+SQL: dict[str, str] = {
+    "op8_minhash": COPIES_SQL,
+    "op9_line_rules": RULES_SQL,
+    "op11_merkle": MANIFEST_SQL,
+    "op12_bwt_merge": REPEATS_SQL,
+}
