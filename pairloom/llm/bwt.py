@@ -22,29 +22,36 @@ class Shard:
     offset: np.ndarray
 
 
+#: Symbols compared at once at first: 258 to this power fits 63 bits.
+PACKED = 7
+
+
 def build_shard(strings: list[bytes]) -> Shard:
-    """Sorts the suffixes of a few strings, doubling the sorted depth until all differ."""
+    """Sorts the suffixes of a few strings, doubling the sorted depth until all differ.
+
+    Terminators are ordered by what follows them, so the strings are sorted as one text.
+    """
     sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
     ends = np.cumsum(sizes)
-    symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-    symbols[ends - 1] = 0
-    n, string = len(symbols), np.repeat(np.arange(len(strings)), sizes)
-    rank = np.where(symbols == 0, string, symbols + len(strings))
-    depth, at = 1, np.arange(n)
-    while True:
-        key = rank * (n + 257) + rank[np.minimum(at + depth, n - 1)]
-        rows = np.argsort(key)
-        ordered = key[rows]
-        steps = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[rows] = steps
-        if steps[-1] == n - 1:
-            break
+    n = int(ends[-1])
+    symbols = np.zeros(n + PACKED, np.int64)  # zeros: the end of all
+    symbols[:n] = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    symbols[:n] += 2
+    symbols[ends - 1] = 1
+    key = np.zeros(n, np.int64)
+    for j in range(PACKED):
+        key = key * 258 + symbols[j : n + j]
+    order, block = _ordered(key)
+    block = np.r_[block, -1]
+    open_ = order[_shared(block[order])]
+    depth = PACKED
+    while len(open_):
+        open_ = _refine(order, block, open_, block[np.minimum(open_ + depth, n)])
         depth *= 2
-    starts = np.r_[0, ends[:-1]]
-    before = symbols[rows - 1].copy()
-    before[np.isin(rows, starts)] = 0
-    return Shard(before.astype(np.int16), string[rows], rows - starts[string[rows]])
+    starts, string = np.r_[0, ends[:-1]], np.repeat(np.arange(len(strings)), sizes)
+    before = symbols[order - 1] - 1
+    before[np.isin(order, starts)] = 0
+    return Shard(before.astype(np.int16), string[order], order - starts[string[order]])
 
 
 def merge_shards(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,38 +69,59 @@ def merge_shards(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarra
     firsts = np.cumsum(sizes) - sizes
     step = np.concatenate([np.argsort(s.bwt, kind="stable") + first for s, first in zip(shards, firsts)])
     symbol = np.concatenate([np.sort(s.bwt, kind="stable") for s in shards]).astype(np.int64)
-    n = len(symbol)
-    ended = symbol == 0
-    counts = np.bincount(symbol, minlength=257)
-    block = (np.cumsum(counts) - counts)[symbol]
-    block[ended] = np.arange(int(ended.sum()))
-    order = np.argsort(block, kind="stable")
+    depth = min(PACKED, width)
+    key, row, ended = np.zeros(len(symbol), np.int64), np.arange(len(symbol)), np.zeros(len(symbol), bool)
+    onward = {0: row}
+    for j in range(depth):
+        ended |= symbol[row] == 0
+        key = key * 258 + np.where(ended, 0, symbol[row])
+        row = step[row]
+        onward[j + 1] = row
+    order, block = _ordered(key, ended)
     open_ = order[_shared(block[order])]
-    steps, depth = {1: step}, 1
+    steps = {depth: onward[depth]}
     while depth < width and len(open_):
-        if depth * 2 <= width:
-            onward = steps[depth]
-            depth *= 2
-            if depth * 2 <= width or depth < width:
-                steps[depth] = onward[onward]
-        else:
-            onward, left, power = None, width - depth, 1
+        more = min(depth, width - depth)
+        if more < depth:  # the last round looks on as far as is left
+            ahead, left, power = onward[more % PACKED if PACKED <= width else 0], more - more % PACKED, PACKED
             while left:
-                if left & 1:
-                    onward = steps[power] if onward is None else steps[power][onward]
-                left, power = left >> 1, power * 2
-            depth = width
-        key = block[open_] * (n + 1) + block[onward[open_]]
-        rows = open_[np.argsort(key)]
-        place = np.sort(_places(block, open_))
-        order[place] = rows
-        key = block[rows] * (n + 1) + block[onward[rows]]
-        new = np.r_[True, key[1:] != key[:-1]]
-        block[rows] = place[new][np.cumsum(new) - 1]
-        open_ = rows[_shared(block[rows])]
+                if left // PACKED & 1:
+                    ahead = steps[power][ahead]
+                    left -= PACKED
+                left //= 2
+                power *= 2
+        else:
+            ahead = steps[depth]
+            steps[depth * 2] = ahead[ahead]
+        open_ = _refine(order, block, open_, block[ahead[open_]])
+        depth += more
+    return order, block
+
+
+def _ordered(key: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by key, and for each row the place of the first of its block; rows ``alone`` share no block."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(order)]
+    if alone is not None:
+        new |= alone[order]
+    block = np.empty(len(key), np.int64)
+    block[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     return order, block
 
 
+def _refine(order: np.ndarray, block: np.ndarray, rows: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sorts ``rows``, which come block by block, within their blocks by ``second``; returns those that still share one."""
+    key = block[rows] * (len(block) + 2) + second + 1
+    place = _places(block, rows)
+    by = np.argsort(key)
+    rows, key = rows[by], key[by]
+    order[place] = rows
+    new = np.r_[True, key[1:] != key[:-1]]
+    block[rows] = place[new][np.cumsum(new) - 1]
+    return rows[_shared(block[rows])]
+
+
 def _shared(blocks: np.ndarray) -> np.ndarray:
     """Which entries of a sorted array have an equal neighbour."""
     same = blocks[1:] == blocks[:-1]
