@@ -468,9 +468,9 @@ class Projections:
 
 
 def measure_projections(index: DataFrame, dims: int, rows: int, bands: int, seed: int) -> Projections:
-    """Random directions whose bucket width is 1.5 times the measured spread of the projected rows, as
-    many of them in a band as leave about 128 rows in a bucket."""
-    per_band = int(np.clip(np.round(np.log(max(rows, 2) / 128) / np.log(2.6)), 1, 20))
+    """Random directions whose bucket width is 2.5 times the measured spread of the projected rows, as
+    many of them in a band as leave about 128 rows in a bucket, within bounds."""
+    per_band = int(np.clip(np.round(np.log(max(rows, 2) / 128) / np.log(1.75)), 6, 12))
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(dims, bands * per_band))
     shared = index.sparkSession.sparkContext.broadcast(directions)
@@ -487,7 +487,7 @@ def measure_projections(index: DataFrame, dims: int, rows: int, bands: int, seed
     for r in parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect():
         variance = r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2 if r["n"] else 0.0
         spread[r["at"]] = np.sqrt(variance) if variance > 1e-12 else 1.0
-    return Projections(directions, rng.uniform(0, 1, directions.shape[1]) * 1.5 * spread, 1.5 * spread, bands)
+    return Projections(directions, rng.uniform(0, 1, directions.shape[1]) * 2.5 * spread, 2.5 * spread, bands)
 
 
 def _buckets(rows: DataFrame, projections: Projections, probing: bool) -> DataFrame:
@@ -517,51 +517,62 @@ def _buckets(rows: DataFrame, projections: Projections, probing: bool) -> DataFr
     return rows.mapInArrow(place, schema).select(name, "v", F.explode("keys").alias("key")).select(name, "v", F.xxhash64("key").alias("cell"))
 
 
-def calibrate_buckets(
-    queries: DataFrame, index: DataFrame, k: int, projections: Projections, rows: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 42,
-    exclude_self: bool = False,
-) -> int:
-    """How many buckets a band a query has to visit to meet ``recall`` of the true neighbours of a sample."""
-    dims = projections.directions.shape[0]
+def true_neighbours(
+    queries: DataFrame, index: DataFrame, k: int, profile: tuple[int, int], sample: int = SAMPLE, seed: int = 42, exclude_self: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a sample of queries and of their true neighbours, a row per pair."""
+    dims = profile[0]
     drawn = _sample(_vectors(queries, "query_id", dims), sample, seed)
-    true = knn_join_exact(drawn.select(F.col("query_id").alias("id"), "v"), index, k, exclude_self=exclude_self, profile=(dims, rows))
+    true = knn_join_exact(drawn.select(F.col("query_id").alias("id"), "v"), index, k, exclude_self=exclude_self, profile=profile)
     met = true.join(drawn.select("query_id", F.col("v").alias("x")), "query_id").join(_vectors(index, "index_id", dims), "index_id").select("x", "v").toArrow()
-    if not met.num_rows:
+    return _matrix(met["x"], dims), _matrix(met["v"], dims)
+
+
+def calibrate_buckets(asked: np.ndarray, found: np.ndarray, projections: Projections, recall: float = RECALL) -> int | None:
+    """How many buckets a band a query has to visit to meet ``recall`` of its neighbours; None if no number does."""
+    if not len(asked):
         return 1
-    asked, found = (projections.places(_matrix(met[c], dims)) for c in ("x", "v"))
-    away = projections.away(asked)
+    asked, found = projections.places(asked), projections.places(found)
     wanted = np.floor(found).astype(np.int64) - np.floor(asked).astype(np.int64)
     known = {tuple(step): i for i, step in enumerate(projections.steps().tolist())}
-    place = np.argsort(np.argsort(away, axis=2, kind="stable"), axis=2)
+    place = np.argsort(np.argsort(projections.away(asked), axis=2, kind="stable"), axis=2)
     ranks = np.full(wanted.shape[:2], len(known), np.int64)
     for i, band in np.ndindex(ranks.shape):
         at = known.get(tuple(wanted[i, band]))
         if at is not None:
             ranks[i, band] = place[i, band, at]
-    return min(_reach(ranks.min(1), recall), len(known))
+    needed = _reach(ranks.min(1), recall)
+    return needed if needed <= len(known) else None
 
 
 def bucket_sides(
-    queries: DataFrame, index: DataFrame, k: int, bands: int = 4, recall: float = RECALL, probes: int | None = None, seed: int = 42,
+    queries: DataFrame, index: DataFrame, k: int, bands: int | None = None, recall: float = RECALL, probes: int | None = None, seed: int = 42,
     exclude_self: bool = False, profile: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the buckets they meet in."""
-    dims, rows = profile or vector_profile(index)
+    """Both sides with the buckets they meet in. Without ``bands`` they are doubled until the wanted recall can be reached."""
+    profile = profile or vector_profile(index)
+    dims, rows = profile
     searched = _vectors(index, "index_id", dims)
-    projections = measure_projections(searched, dims, rows, bands, seed)
-    probes = probes or calibrate_buckets(queries, index, k, projections, rows, recall, seed=seed, exclude_self=exclude_self)
-    projections = Projections(projections.directions, projections.shifts, projections.widths, bands, probes)
+    pairs = None if probes else true_neighbours(queries, index, k, profile, seed=seed, exclude_self=exclude_self)
+    tried = [bands] if bands else [1, 2, 4, 8, 16]
+    for bands in tried:
+        projections = measure_projections(searched, dims, rows, bands, seed)
+        needed = probes or calibrate_buckets(*pairs, projections, recall)
+        if needed:
+            break
+    needed = needed or len(projections.steps())
+    projections = Projections(projections.directions, projections.shifts, projections.widths, bands, needed)
     return _buckets(_vectors(queries, "query_id", dims), projections, True), _buckets(searched, projections, False)
 
 
 def knn_join_buckets(
-    queries: DataFrame, index: DataFrame, k: int, *, bands: int = 4, recall: float = RECALL, probes: int | None = None,
+    queries: DataFrame, index: DataFrame, k: int, *, bands: int | None = None, recall: float = RECALL, probes: int | None = None,
     exclude_self: bool = False, block_rows: int = BLOCK_ROWS, seed: int = 42, profile: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Approximate join over buckets of random projections.
 
     A band joins several projections to one bucket; a query meets the rows of its own bucket and of the
-    nearest ones beside it, in each of ``bands`` bands. Queries that meet fewer than k rows are
+    nearest ones beside it, in each of ``bands`` bands (as few as reach the recall). Queries that meet fewer than k rows are
     answered over the cells of a tree instead.
     """
     profile = profile or vector_profile(index)
