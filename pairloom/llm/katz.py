@@ -327,7 +327,7 @@ def gather(group: pd.DataFrame, words: Unigrams) -> pd.DataFrame:
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     columns = [f.split()[0] for f in OUT.split(", ")]
     return frame[columns].astype(
-        {"kind": "int32", "key": "int64", "other": "Int64", "n": "Int64", "known": "Int64", "held": "boolean", "x": "Float64", "y": "Float64"}
+        {"kind": "int32", "key": "int64", "other": "Int64", "n": "Int64", "known": "Int64", "held": "boolean", "x": "Float64", "y": "Float64", "r": "object"}
     )
 
 
