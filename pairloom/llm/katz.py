@@ -37,7 +37,7 @@ FREQUENT = 1 << 17
 #: Contexts among the hottest are split over partitions by their word.
 HOTTEST = 1024
 #: Entries a partition holds, about.
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 1_000_000
 BATCH_CHARS = 4_000_000
 #: Distinct words a task counts before it passes the counts on.
 COUNTED = 2_000_000
