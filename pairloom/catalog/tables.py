@@ -156,9 +156,11 @@ def exact_sample(spark, sf):
 @query("chunk_plan", """SELECT count(*) AS n, (count(*) * 3) // 10 AS sample_size,
   greatest(floor(log10(greatest((count(*) * 3) // 10, 1))), 1)::BIGINT AS chunks FROM documents""")
 def chunk_plan(spark, sf):
-    counted = documents(spark, sf).agg(F.count("*").alias("n"))
-    sized = counted.withColumn("sample_size", F.floor(F.col("n") * 3 / 10))
-    return sized.withColumn("chunks", F.greatest(F.floor(F.log10(F.greatest("sample_size", F.lit(1)))), F.lit(1)))
+    """The sample and the number of chunks a run takes for the documents."""
+    n = documents(spark, sf).count()
+    size = int(n * 3 // 10)
+    return spark.range(1).select(
+        F.lit(n).cast("long").alias("n"), F.lit(size).cast("long").alias("sample_size"), F.lit(sampling.chunk_count(size)).cast("long").alias("chunks"))
 
 
 @query("chunk_sizes", "SELECT label AS chunk, count(*) AS n FROM embeddings GROUP BY label")
