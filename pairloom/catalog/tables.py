@@ -80,27 +80,16 @@ def embedded_roundtrip(spark, sf):
 # --- truth -------------------------------------------------------------------------
 
 
-# Classes of equal cleaned text, each named by its least id; matches between classes stand for all pairs of members.
-
-
-CLASSES_SQL = f"""{TRUTH_SQL},
-pairs AS (SELECT o.ta, o.tb, min(a.id) AS a_id, min(b.id) AS b_id, count(DISTINCT a.id) AS n_a, count(DISTINCT b.id) AS n_b, count(*) AS n_pairs,
-  count(*) FILTER (a.id IN (SELECT doc_id FROM labels) AND b.id IN (SELECT doc_id FROM labels)) AS n_known,
-  min(a.id) FILTER (a.id IN (SELECT doc_id FROM labels)) AS known_a, min(b.id) FILTER (b.id IN (SELECT doc_id FROM labels)) AS known_b
-  FROM overlap o JOIN texts a ON a.t = o.ta AND a.id % 2 = 0 JOIN texts b ON b.t = o.tb AND b.id % 2 = 1
-  WHERE 5 * c >= 4 * (nx + ny - c) GROUP BY o.ta, o.tb)"""
-
-
-@query("truth_pairs", f"WITH {CLASSES_SQL} SELECT a_id, b_id, n_pairs FROM pairs")
+@query("truth_pairs", f"WITH {TRUTH_SQL} SELECT DISTINCT a_id, b_id FROM truth")
 def truth_pairs(spark, sf):
-    return truth.class_pairs(document_classes(spark, sf))
+    return truth.flatten_multimap(truth.truth_multimap(document_classes(spark, sf).expand()))
 
 
-@query("truth_grouped", f"""WITH {CLASSES_SQL} SELECT a_id, row_number() OVER (PARTITION BY a_id ORDER BY b_id) - 1 AS position, b_id
-  FROM (SELECT DISTINCT a_id, b_id FROM pairs)""")
+@query("truth_grouped", f"""WITH {TRUTH_SQL} SELECT a_id, row_number() OVER (PARTITION BY a_id ORDER BY b_id) - 1 AS position, b_id
+  FROM (SELECT DISTINCT a_id, b_id FROM truth)""")
 def truth_grouped(spark, sf):
-    """The matches of every class in order."""
-    return truth.truth_multimap(truth.class_pairs(document_classes(spark, sf)))
+    """The matches of every document in order."""
+    return truth.truth_multimap(document_classes(spark, sf).expand())
 
 
 @query("truth_last", f"WITH {TRUTH_SQL} SELECT a_id, max(b_id) AS b_id FROM truth GROUP BY a_id")
@@ -119,16 +108,19 @@ def _labelled_sides(spark, sf):
     return ids.filter("id % 2 = 0"), ids.filter("id % 2 = 1")
 
 
-@query("truth_semi", f"WITH {CLASSES_SQL} SELECT known_a AS a_id, known_b AS b_id, n_known AS n_pairs FROM pairs WHERE n_known > 0")
+KNOWN = "a_id IN (SELECT doc_id FROM labels) AND b_id IN (SELECT doc_id FROM labels)"
+
+
+@query("truth_semi", f"WITH {TRUTH_SQL} SELECT a_id, b_id FROM truth WHERE {KNOWN}")
 def truth_semi(spark, sf):
-    """The truth among labelled documents, by class."""
-    return truth.class_pairs(truth.known_classes(document_classes(spark, sf), *_labelled_sides(spark, sf)))
+    """The truth among labelled documents."""
+    return truth.known_classes(document_classes(spark, sf), *_labelled_sides(spark, sf)).expand()
 
 
-@query("truth_anti", f"WITH {CLASSES_SQL} SELECT a_id, b_id, n_pairs - n_known AS n_pairs FROM pairs WHERE n_pairs > n_known")
+@query("truth_anti", f"WITH {TRUTH_SQL} SELECT a_id, b_id FROM truth WHERE NOT ({KNOWN})")
 def truth_anti(spark, sf):
-    """Pairs that name a document without label, counted by class."""
-    return truth.unknown_class_pairs(document_classes(spark, sf), *_labelled_sides(spark, sf))
+    """Pairs that name a document without label."""
+    return truth.unknown_member_pairs(document_classes(spark, sf), *_labelled_sides(spark, sf))
 
 
 @query("label_by_class", f"""WITH {TRUTH_SQL}, asked AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id FROM documents x JOIN documents y
