@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import shared
 from pairloom.llm import quality
@@ -74,3 +75,28 @@ def test_awkward_rows_and_labels(spark):
 def test_features_see_the_whole_text():
     assert quality.text_features(shared.LONG + "!" * 900) != quality.text_features(shared.LONG)
     assert quality.text_features(None) == quality.text_features("")
+
+
+@pytest.mark.parametrize("share", [0.7, 0.3, 0.02])
+def test_the_stored_fit_is_the_fit(spark, monkeypatch, share):
+    """Whichever class is longer; the cut is found by counting as well."""
+    monkeypatch.setattr(quality, "SORTED", 20)
+    rng = np.random.default_rng(3)
+    features = rng.normal(size=(300, len(quality.FEATURES)))
+    good = features[:, 1] + rng.normal(size=300) > np.quantile(features[:, 1], 1 - share)
+    order = rng.permutation(300)
+    learnt = spark.createDataFrame([(int(i), bool(good[i]), features[i].tolist()) for i in order], "doc_id long, good boolean, features array<double>")
+    want, got = quality.fit_ranking(features, good), quality.fit_stored(learnt.repartition(5))
+    for name in ("mean", "scale", "weights", "cut"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9, atol=1e-9)
+
+
+def test_every_labelled_text_is_learnt_from(spark):
+    """Only 20,000 labelled rows were used: 24,001 here, the last by their hash bad."""
+    ids = [i for i in range(31_000) if not shared.held(i, 5)][:24_000]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    late = {r.doc_id for r in frame.orderBy(F.xxhash64("doc_id").desc()).limit(3_000).collect()}
+    docs = frame.select("doc_id", F.when(F.col("doc_id").isin(list(late)), "$$ ## $$").otherwise("plain words here").alias("text"))
+    model = quality.train_ranking(docs, labels(spark, [(i, int(i not in late), 0) for i in ids]))
+    bad, fine = model.score(np.array([quality.text_features(t) for t in ("$$ ## $$", "plain words here")]))
+    assert bad < quality.CUT <= fine
