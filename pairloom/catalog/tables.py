@@ -56,7 +56,7 @@ def coerce_ids(spark, sf):
   FROM (SELECT doc_id, {clean_sql('text')} AS t FROM documents) GROUP BY t""")
 def dedupe_last_text(spark, sf):
     side = records.prepare_records(documents(spark, sf).select("id", "body"), ["body"], "b")
-    return records.dedupe_last(side).select("id", "text")
+    return records.dedupe_last(side.select("id", "text"))
 
 
 @query("text_lookup", """SELECT o.p_partkey AS id, w.found_id FROM part o
