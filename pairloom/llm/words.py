@@ -20,10 +20,8 @@ from pairloom.llm.repeats import Rolling
 
 #: Distinct words a worker remembers.
 REMEMBERED = 1_000_000
-#: A space at an end, or beside white space.
-_UNEVEN = regex.compile(r"\A\s|\s\Z| \s|\s ")
-#: White space of ASCII texts, beside a space.
-_PAIRS = ["  ", *(p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for p in (f" {c}", f"{c} "))]
+#: White space but spaces, and each of it beside a space.
+_PAIRS = [(c, f" {c}", f"{c} ") for c in map(chr, range(1, 0x3001)) if c.isspace() and c != " "]
 #: ASCII letters and digits, marks, and white space but spaces. A match of the pattern also ends between a letter or
 #: digit and what follows of the other two, and between a mark and a letter or digit; an apostrophe may join.
 _ALNUM, _MARK, _WHITE = 1, 2, 3
@@ -37,9 +35,8 @@ _ONE = regex.compile(r" ?\p{L}+")
 
 
 def uneven(text: str) -> bool:
-    if text.isascii():
-        return text != text.strip() or any(p in text for p in _PAIRS)
-    return _UNEVEN.search(text) is not None
+    """Whether white space is at an end of the text, or a space beside white space."""
+    return text != text.strip() or "  " in text or any(c in text and (before in text or after in text) for c, before, after in _PAIRS)
 
 
 class WordEncoder:

@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 import shared
-from pairloom.llm import packing
+from pairloom.llm import packing, words
 from pairloom.llm.words import WordEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,3 +109,10 @@ def test_a_seed_takes_its_like_first():
     idf = packing.idf_of(np.full(200, 2), 4)
     windows = packing.pack_shard(tails, idf, 30.0, 60)
     assert [[p[0] for p in w] for w in windows] == [[0, 3], [1, 2]]
+
+
+def test_uneven_is_white_space_at_an_end_or_beside_a_space():
+    meant = regex.compile(r"\A\s|\s\Z| \s|\s ")
+    spaces = [c for c in map(chr, range(0x3100)) if regex.match(r"\s", c)]
+    texts = ["", "a", "a b", *(t for c in spaces for t in (f"é{c}b", f"é{c} b", f"a {c}b", f"{c}a", f"é{c}"))]
+    assert [words.uneven(t) for t in texts] == [meant.search(t) is not None for t in texts]
