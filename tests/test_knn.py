@@ -182,3 +182,17 @@ def test_large_path_has_no_cross_join(spark, data):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan
+
+
+def test_many_small_blocks_meet_within_a_task(spark, monkeypatch):
+    """Each pair of blocks was a group of its own: rows travelled, and top k came back, once per block of 16."""
+    came = []
+    ranked = knn._ranked
+    monkeypatch.setattr(knn, "_ranked", lambda found, *rest: came.append(found.count()) or ranked(found, *rest))
+    rng = np.random.default_rng(3)
+    queries, index = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (n, 4)).astype(float))], "id long, v array<double>") for n in (20, 400))
+    small = sorted(map(tuple, knn.knn_join_exact(queries, index, 3, block_rows=16).collect()))
+    assert came[0] <= 20 * 3 * spark.sparkContext.defaultParallelism
+    assert small == sorted(map(tuple, knn.knn_join_exact(queries, index, 3).collect())) and len(small) == 60
+    own = sorted(map(tuple, knn.knn_join_exact(index, index, 3, exclude_self=True, block_rows=16).collect()))
+    assert own == sorted(map(tuple, knn.knn_join_exact(index, index, 3, exclude_self=True).collect())) and all(r[0] != r[1] for r in own)
