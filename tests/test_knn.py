@@ -196,3 +196,10 @@ def test_many_small_blocks_meet_within_a_task(spark, monkeypatch):
     assert small == sorted(map(tuple, knn.knn_join_exact(queries, index, 3).collect())) and len(small) == 60
     own = sorted(map(tuple, knn.knn_join_exact(index, index, 3, exclude_self=True, block_rows=16).collect()))
     assert own == sorted(map(tuple, knn.knn_join_exact(index, index, 3, exclude_self=True).collect())) and all(r[0] != r[1] for r in own)
+
+
+def test_rows_probed_at_once_are_bounded():
+    """1,024 rows were probed at once, however many buckets each visits."""
+    for bands, probes in ((1, 1), (2, 900), (16, 1000)):
+        wide = knn.Projections(np.ones((4, 12 * bands)), np.zeros(12 * bands), np.ones(12 * bands), bands, probes)
+        assert 1 <= wide.at_once(probes) and wide.at_once(probes) * bands * probes * 13 <= knn.TILE
