@@ -136,3 +136,40 @@ def test_repeated_passages_do_not_lower_the_agreement(spark):
     got = minhash.sketch(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2048, 1).collect()
     agreed = (np.array(got[0].bands) == np.array(got[1].bands)).mean()
     assert exact > 0.79 and abs(agreed - exact) < 4 * (exact * (1 - exact) / 2048) ** 0.5
+
+
+@pytest.mark.parametrize("native", [False, True])
+def test_a_crowd_without_links_is_not_compared_pair_by_pair(spark, monkeypatch, native):
+    """Texts that share buckets and every shingle with some other text, no two of them similar."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        changed = {b: rng.randrange(3) for b in rng.sample(range(40), 4)}
+        rows.append((i, " ".join(f"b{b}v{changed.get(b, 'x')}w{j}" for b in range(40) for j in range(6)), "en", "s", 0))
+    rows += [(1000 + i, rows[i][1].replace("b7vxw3", "other"), "en", "s", 0) for i in range(5)]
+    compared, real = [], minhash.materialize
+
+    def stored(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", stored)
+    got = minhash.near_copies(shared.documents(spark, rows), native=native).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes(rows)
+    assert len(compared) > 1 and sum(compared[1:]) < len(rows)
+
+
+def test_sketches_never_rule_out_a_link(spark):
+    """Bits that differ are at most as many as shingles that do, and of the same parity."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = [edited(rng, base, n) for n in (0, 1, 2, 5, 40)] + ["", "one two"]
+    held = [minhash.shingles([text])[1].view(np.int64).tolist() for text in texts]
+    rows = spark.createDataFrame([(i, v) for i, values in enumerate(held) for v in values], "node long, shingle long")
+    found = {r.node: [r[f"s{i}"] % 2**64 for i in range(minhash.SKETCH)] for r in minhash.parity_sketches(rows).collect()}
+    for i, a in found.items():
+        for j, b in found.items():
+            bits, apart = sum((x ^ y).bit_count() for x, y in zip(a, b)), len(set(held[i]) ^ set(held[j]))
+            assert bits <= apart and (bits - apart) % 2 == 0
