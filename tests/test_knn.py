@@ -203,3 +203,22 @@ def test_rows_probed_at_once_are_bounded():
     for bands, probes in ((1, 1), (2, 900), (16, 1000)):
         wide = knn.Projections(np.ones((4, 12 * bands)), np.zeros(12 * bands), np.ones(12 * bands), bands, probes)
         assert 1 <= wide.at_once(probes) and wide.at_once(probes) * bands * probes * 13 <= knn.TILE
+
+
+def test_a_query_travels_once_to_the_leaves_of_a_slice(spark, monkeypatch):
+    """Many leaves, few slices: what meets is a row per query and slice, and the neighbours are the exact ones."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(900, 8)).tolist())], "id long, v array<double>")
+    built = knn.build_cells(rows, coarse_rows=400)
+    stored, real = {}, knn.materialize
+
+    def store(df, name):
+        stored[name] = real(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(knn, "materialize", store)
+    got = knn.knn_join_cells(rows, built, 4, probes=(2**30, 2**30), exclude_self=True)
+    exact = knn.knn_join_exact(rows, rows, 4, exclude_self=True)
+    assert sorted(got.collect()) == sorted(exact.collect())
+    slices = stored["visits"].selectExpr("cell >> 20 AS s").distinct().count()
+    assert stored["visits"].count() > 20 * 900 * slices and stored["wanted"].count() == 900 * slices
