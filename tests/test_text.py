@@ -2,9 +2,12 @@ import random
 import re
 
 import duckdb
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions import strings
 from pairloom.functions.strings import jaro_winkler, jaro_winkler_value
 from pairloom.functions.text import canonical_id, clean, record_text
 
@@ -58,3 +61,17 @@ def test_jaro_winkler_counts_code_points_and_nulls(spark):
     df = spark.createDataFrame([("é", "è"), ("é", "é"), (None, "x"), ("dwayne", "duane")], "a string, b string")
     got = [r[0] for r in df.select(jaro_winkler(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([0.0, 1.0, 0.0, 0.84])
+
+
+def test_long_strings_are_matched_by_whole_arrays(monkeypatch):
+    """Each character of a long text was looked up in Python; both ways must agree to the last bit."""
+    draw = random.Random(8)
+    alphabets = ["ab", "abc ", "abcdefghij klmno", "a\u00e9\U0001f600b", "\u00e9\u6f22\u5b57ab "]
+    for _ in range(600):
+        letters = draw.choice(alphabets)
+        a = "".join(draw.choice(letters) for _ in range(draw.randint(1, 60)))
+        b = draw.choice([a[::-1], a[len(a) // 2:] + a[: len(a) // 3], a * 3, "".join(draw.choice(letters) for _ in range(draw.randint(1, 60)))])
+        assert strings._matched(strings.Places.of(a), strings.Places.of(b)) == strings._matched_short(a, b), (a, b)
+    monkeypatch.setattr(strings, "_matched_short", None)
+    text = "some words of a longer text " * 40
+    assert 0.9 < jaro_winkler_value(text, text[:500] + "other" + text[500:]) < 1
