@@ -88,11 +88,11 @@ def knn_recall(spark, sf):
     a, b = vector_sides(spark, sf)
     profile = knn.vector_profile(a)
     built = knn.build_cells(a, profile=profile)
-    visits = materialize(knn.cell_visits(b, built, K), "visits")
+    visits = knn.visited_leaves(b, built, K)
     pairs = b.count() * profile[1]
-    asking, searched = knn.bucket_sides(b, a, K, profile=profile)
-    shares = {"ivf": knn.compared_share(visits, built.rows, pairs), "lsh": knn.compared_share(asking, searched, pairs)}
-    found = {"ivf": knn.knn_join_cells(b, built, K), "lsh": knn.knn_join_buckets(b, a, K, profile=profile)}
+    sides = knn.bucket_sides(b, a, K, profile=profile)
+    shares = {"ivf": knn.compared_share(knn.cell_visits(b, built, K, visited=visits), built.rows, pairs), "lsh": knn.compared_share(*sides, pairs)}
+    found = {"ivf": knn.knn_join_cells(b, built, K, visited=visits), "lsh": knn.knn_join_buckets(b, a, K, profile=profile, sides=sides)}
     rows = [
         recall_of(labels.as_pairs(found[m]), exact).select(F.lit(m).alias("method"), "n", "recall", F.lit(round(shares[m], 4)).alias("compared"))
         for m in ("ivf", "lsh")

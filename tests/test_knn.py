@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.catalog import REGISTRY
 from pairloom.functions.vectors import cosine
 from pairloom.operators import knn
 
@@ -222,3 +223,12 @@ def test_a_query_travels_once_to_the_leaves_of_a_slice(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(exact.collect())
     slices = stored["visits"].selectExpr("cell >> 20 AS s").distinct().count()
     assert stored["visits"].count() > 20 * 900 * slices and stored["wanted"].count() == 900 * slices
+
+
+def test_recall_is_measured_on_the_visits_of_the_joins(spark, small, monkeypatch):
+    """Visits and buckets were calibrated, and leaves chosen, once for the share and once more for the join."""
+    made = []
+    for name in ("calibrate_cells", "calibrate_buckets", "_leaf_visits"):
+        monkeypatch.setattr(knn, name, lambda *args, name=name, whole=getattr(knn, name), **options: made.append(name) or whole(*args, **options))
+    assert {r.method for r in REGISTRY["knn_recall"].run(spark, small).collect()} == {"ivf", "lsh"}
+    assert made.count("calibrate_cells") == made.count("_leaf_visits") == 1 and made.count("calibrate_buckets") <= 5
